@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import canonical
+from rosterspark.llm import addresses, canonical
 from rosterspark.operators import packed
 from rosterspark.session import table
 
@@ -29,4 +29,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.join(mapped, "entry").select("src_table", "row_key", "field_name", "pos", F.col("code").alias("iso2"))
 
 
-QUERIES = {"p7_found": p7_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = addresses.same_building(table(spark, sf_dir, "address"), "address_id", table(spark, sf_dir, "country_ref"))
+    return pairs.select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import addresses, canonical
+from rosterspark.llm import addresses, canonical, profiles, resolution, words
 from rosterspark.operators import packed
-from rosterspark.session import table
+from rosterspark.session import checkpointed, table
 
 
 def country_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,4 +34,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
+def _weighted(spark: SparkSession, sf_dir: str, only_custom: bool) -> tuple[DataFrame, int, frozenset]:
+    plain = checkpointed(profiles.profiles(spark, sf_dir, only_custom))
+    total = plain.count()
+    return checkpointed(words.with_weights(plain, total)), total, words.variants(plain)
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per entry with its class."""
+    found, total, variants = _weighted(spark, sf_dir, only_custom=True)
+    return resolution.resolve(found, total, variants)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = resolution.pairs_of(p4_classes(spark, sf_dir))
+    return pairs.select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_found": p7_found}

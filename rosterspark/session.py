@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes of its text form, that ``bounded_broadcast`` lets be broadcast.
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 4 * 1024 * 1024
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "rosterspark") -> SparkSession:
@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "roste
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # long expressions make plan texts of megabytes, and the driver keeps one for each execution
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

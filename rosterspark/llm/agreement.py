@@ -52,7 +52,7 @@ def alike(a: str, b: str) -> float:
     if a.isdigit() or b.isdigit() or any(c.isdigit() for c in a + b):
         return 0.0
     longest = max(len(a), len(b))
-    most = 0 if longest < 4 else 1 if longest < 7 else 2 if longest < 11 else 3
+    most = 0 if longest < 4 else 1 if longest < 7 or a[0] != b[0] else 2 if longest < 12 else 3
     if most:
         d = distance(a, b, most)
         if d <= most:
@@ -88,6 +88,7 @@ class Judge:
         """(level, matched weight): 0 no match, 1 the telling word with initials or alone, 2 with another word, -1 contradiction."""
         pairs = sorted(((-s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := self.word(x, y)) > 0), key=lambda t: t)
         used_a, used_b, full, strong, total = set(), set(), 0, False, 0.0
+        whole_a, whole_b = set(), set()
         for s, i, j in pairs:
             if i in used_a or j in used_b:
                 continue
@@ -97,14 +98,22 @@ class Judge:
             total += -s * w
             if -s >= 0.7:
                 full += 1
+                whole_a.add(i)
+                whole_b.add(j)
                 if w >= self.strong and min(len(a[i]), len(b[j])) >= 4:
                     strong = True
-        if not strong:
+        if not strong or not self._heaviest(a, weight) <= whole_a or not self._heaviest(b, weight) <= whole_b:
             return 0, 0.0
         if len(used_a) < len(a) and len(used_b) < len(b):
             return -1, total
         return (2 if full >= 2 else 1), total
 
+    @staticmethod
+    def _heaviest(words: list[str], weight: dict[str, float]) -> set[int]:
+        """Place of the rarest word of four letters or more: it must be met in full."""
+        long = [i for i, w in enumerate(words) if len(w) >= 4]
+        return {max(long, key=lambda i: (weight.get(words[i], 0.0), len(words[i])))} if long else set()
+
     def names(self, p: Profile, q: Profile, weight: dict[str, float]) -> int:
         best = 0
         for a in p.names:

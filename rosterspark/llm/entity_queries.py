@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import addresses, canonical, profiles, resolution, words
+from rosterspark.llm import addresses, canonical, matching, profiles, resolution, words
 from rosterspark.operators import packed
 from rosterspark.session import checkpointed, table
 
 
+#: Official lists: one entry of a match across lists comes from these.
+OFFICIAL = ["US", "EU", "UK", "UN", "CH", "UA"]
+
+
 def country_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_table, row_key, field_name, pos, entry) of every non-empty country entry, as typed."""
     address = table(spark, sf_dir, "address")
@@ -35,11 +39,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf_dir: str, only_custom: bool) -> tuple[DataFrame, int, frozenset]:
-    plain = checkpointed(profiles.profiles(spark, sf_dir, only_custom))
+    plain = profiles.profiles(spark, sf_dir, only_custom)
     total = plain.count()
     return checkpointed(words.with_weights(plain, total)), total, words.variants(plain)
 
 
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with their confidence."""
+    found, total, variants = _weighted(spark, sf_dir, only_custom=False)
+    pairs = matching.match(found, total, variants, OFFICIAL)
+    return pairs.select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"), F.round("cosine", 4).alias("cosine"), "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).select("entry_id_a", "entry_id_b")
+
+
 def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entry with its class."""
     found, total, variants = _weighted(spark, sf_dir, only_custom=True)
@@ -51,4 +66,4 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_found": p7_found}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rosterspark.functions.text import latin
 from rosterspark.llm import canonical
 from rosterspark.operators import packed
-from rosterspark.session import table
+from rosterspark.session import checkpointed, table
 
 # Words that tell no name from another: particles, titles, legal forms, kinds of ship.
 PARTICLES = "al el bin ibn bint ben abu umm von van der de la del da dos das el ul".split()
@@ -158,6 +158,7 @@ def profiles(spark: SparkSession, sf_dir: str, only_custom: bool = False) -> Dat
         F.filter(F.array_distinct(F.flatten(F.collect_list("births"))), lambda b: b.isNotNull() & b["y1"].isNotNull()).alias("births"),
         F.array_distinct(F.flatten(F.collect_list("typed"))).alias("typed"), F.array_distinct(F.filter(F.flatten(F.collect_list("numbers")), lambda n: F.length(n) >= 5)).alias("numbers"),
     )
+    one = checkpointed(one)
     typed = one.select("entry_id", F.explode("typed").alias("place")).where("place is not null")
     known = canonical.map_countries(typed, "place", table(spark, sf_dir, "country_ref")).where("code <> '-'").select("place", "code")
     lands = typed.join(known, "place").groupBy("entry_id").agg(F.array_sort(F.collect_set("code")).alias("countries"))

@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN_NAME = "Unknown Name"
 
@@ -18,7 +19,7 @@ def primary_name(names: Column) -> Column:
 
 
 def alias_names(names: Column) -> Column:
-    return F.transform(F.slice(names, 2, 2**31 - 1), lambda n: n["whole_name"])
+    return F.transform(F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))), lambda n: n["whole_name"])
 
 
 def all_names(names: Column) -> Column:
@@ -124,7 +125,7 @@ def verify(body: str, header: str, secret: str, now: int, tolerance: int = 300)
 
 
 def signature_udf(secret: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(body: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([sign(b or "", secret, int(t)) for b, t in zip(body, at)])
 

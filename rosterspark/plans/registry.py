@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterspark.plans import pipeline_queries
+from rosterspark.plans import core_queries, pipeline_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**pipeline_queries.QUERIES}
+    return {**core_queries.QUERIES, **pipeline_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**core_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline_queries.p5_found(spark, sf_dir)
+    return core_queries.flagship(spark, sf_dir)

@@ -11,9 +11,10 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
-@lru_cache(maxsize=400_000)
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance with exchange of neighbours as one, or ``most + 1`` if larger than ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -40,7 +41,7 @@ def _shortened(short: str, long: str) -> bool:
     return len(short) >= 4 and short in long
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def alike(a: str, b: str) -> float:
     """How surely two words stand for one: 1 equal, about 0.9 misspelled, 0.8 shortened, 0.5 initial, 0 other."""
     if a == b:
@@ -176,24 +177,36 @@ def births(p: Profile, q: Profile) -> int:
     return max((_births(a, b) for a in p.births for b in q.births), default=0)
 
 
-def _profile(kind, names, dates, countries, numbers) -> Profile:
-    whole = lambda x: None if x is None or x != x else int(x)
-    return Profile(kind, [list(n) for n in names], [tuple(whole(b[k]) for k in ("y1", "y2", "m", "d")) for b in dates], frozenset(countries), frozenset(numbers))
+_FIELD, _ITEM = "\x1e", "\x1f"
+
+
+def encoded() -> Column:
+    """A profile with its word weights as one text: it is small in a shuffle and in Arrow, and parsed once per task."""
+    births = F.transform("births", lambda b: F.concat_ws(",", *[F.coalesce(b[k].cast("string"), F.lit("-")) for k in ("y1", "y2", "m", "d")]))
+    weights = F.transform("weights", lambda x: F.concat_ws(" ", x["t"], F.round(x["w"], 4).cast("string")))
+    names = F.transform("names", lambda n: F.concat_ws(" ", n))
+    return F.concat_ws(_FIELD, F.coalesce("kind", F.lit("")), *[F.concat_ws(_ITEM, c) for c in (names, births, F.col("countries"), F.col("numbers"), weights)])
+
+
+@lru_cache(maxsize=4096)
+def parsed(text: str) -> tuple[Profile, dict[str, float]]:
+    kind, names, dates, countries, numbers, weights = text.split(_FIELD)
+    items = lambda x: x.split(_ITEM) if x else []
+    births = [tuple(None if v == "-" else int(v) for v in d.split(",")) for d in items(dates)]
+    pairs = (w.rsplit(" ", 1) for w in items(weights))
+    return Profile(kind or None, [n.split(" ") for n in items(names)], births, frozenset(items(countries)), frozenset(items(numbers))), {t: float(w) for t, w in pairs}
 
 
 def judge_pairs(variants: frozenset[tuple[str, str]], strong: float, keep: list[str]):
-    """A ``mapInPandas`` function over pairs with columns kind_a, names_a, ... and weights_a, weights_b: adds same, evidence, births."""
+    """A ``mapInPandas`` function over pairs with ``body_a`` and ``body_b``: adds same, evidence, births."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(variants, strong)
         for b in batches:
             same, evidence, when = [], [], []
-            for r in b.itertuples(index=False):
-                p = _profile(r.kind_a, r.names_a, r.births_a, r.countries_a, r.numbers_a)
-                q = _profile(r.kind_b, r.names_b, r.births_b, r.countries_b, r.numbers_b)
-                weight = {x["t"]: x["w"] for x in r.weights_a}
-                weight.update((x["t"], x["w"]) for x in r.weights_b)
-                yes, e = judge.verdict(p, q, weight)
+            for x, y in zip(b["body_a"], b["body_b"]):
+                (p, wp), (q, wq) = parsed(x), parsed(y)
+                yes, e = judge.verdict(p, q, wp | wq)
                 same.append(yes)
                 evidence.append(e)
                 when.append(births(p, q))

@@ -62,11 +62,10 @@ def candidates(profiles: DataFrame, strong: float, hot: int = HOT_BLOCK) -> Data
 
 def judged(pairs: DataFrame, profiles: DataFrame, variants: frozenset[tuple[str, str]], strong: float, more: list[str] = []) -> DataFrame:
     """``pairs`` (a, b, more...) with same, evidence and births by ``agreement``."""
-    left = profiles.select(F.col("entry_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in _PARTS])
-    right = profiles.select(F.col("entry_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in _PARTS])
-    full = pairs.join(left, "a").join(right, "b")
+    body = profiles.select("entry_id", agreement.encoded().alias("body"))
+    full = pairs.join(body.select(F.col("entry_id").alias("a"), F.col("body").alias("body_a")), "a").join(body.select(F.col("entry_id").alias("b"), F.col("body").alias("body_b")), "b")
     schema = pairs.select("a", "b", *more).schema.add("same", "boolean").add("evidence", "integer").add("births", "integer")
-    return full.select("a", "b", *more, *[f"{c}_{s}" for s in "ab" for c in _PARTS]).mapInPandas(agreement.judge_pairs(variants, strong, ["a", "b", *more]), schema)
+    return full.select("a", "b", *more, "body_a", "body_b").mapInPandas(agreement.judge_pairs(variants, strong, ["a", "b", *more]), schema)
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -81,6 +80,18 @@ def _roots(links: DataFrame) -> DataFrame:
         to = step.select("entry_id", F.col("next").alias("root"))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(entry_id, root) of the connected components of links (a, b): roots are linked in their turn until none are left to link."""
+    labels = checkpointed(_roots(links))
+    while True:
+        named = links.join(labels.select(F.col("entry_id").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("entry_id").alias("b"), F.col("root").alias("rb")), "b")
+        left = checkpointed(named.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if left.isEmpty():
+            return labels
+        up = checkpointed(_roots(left))
+        labels = checkpointed(labels.join(up.select(F.col("entry_id").alias("root"), F.col("root").alias("top")), "root", "left").select("entry_id", F.coalesce("top", "root").alias("root")))
+
+
 def merged(profiles: DataFrame) -> DataFrame:
     """One profile per ``root``: the union of what its members have."""
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)

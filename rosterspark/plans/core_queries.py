@@ -9,6 +9,7 @@ from rosterspark.functions import country, fields, similarity
 from rosterspark.functions import text as tx
 from rosterspark.operators import export, overlay, rejects, screening, versions
 from rosterspark.session import table
+from rosterspark.streaming import limits
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -685,3 +686,24 @@ def ag11(spark, d):
     asked = n.where("ci > 0 and trim(name) <> ''").select(F.col("alias_id").alias("q_id"), "name", F.col("record_id").alias("expected"))
     found = screening.name_scores(asked.select("q_id", "name"), n.where("ci = 0").select("record_id", "ci", "name")).where(F.col("score") >= screening.THRESHOLD)
     return export.recall(asked, found)
+
+
+# --- Streams over the events table ------------------------------------------------------------------
+
+
+@query("st01_tumbling_rate_limit", "select event_id, row_number() over (partition by user_id, date_trunc('day', ts) order by ts, event_id) <= 2 as admitted from events")
+def st01(spark, d):
+    return limits.admitted(t(spark, d, "events"), "user_id", "ts", "event_id", seconds=86400, limit=2).select("event_id", "admitted")
+
+
+@query("st01_window_counts", "select date_trunc('minute', ts) as window_start, user_id, count(*) as n from events group by 1, 2")
+def st01_counts(spark, d):
+    return limits.window_counts(t(spark, d, "events"), "user_id", "ts")
+
+
+@query("st02_cooldown", """with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as i from events),
+ r as (select user_id, event_id, ts, i from e where i = 1 union all
+ select n.user_id, n.event_id, n.ts, n.i from (select e.user_id, e.event_id, e.ts, e.i, row_number() over (partition by e.user_id order by e.i) as k from r join e on e.user_id = r.user_id and e.i > r.i and e.ts >= r.ts + interval 1 day) n where k = 1)
+ select e.event_id, r.event_id is not null as issued from e left join r using (event_id)""")
+def st02(spark, d):
+    return limits.cooled(t(spark, d, "events"), "user_id", "ts", "event_id", seconds=86400).select("event_id", "issued")

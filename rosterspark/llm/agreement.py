@@ -41,7 +41,7 @@ def _shortened(short: str, long: str) -> bool:
     return len(short) >= 4 and short in long
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=50_000)
 def alike(a: str, b: str) -> float:
     """How surely two words stand for one: 1 equal, about 0.9 misspelled, 0.8 shortened, 0.5 initial, 0 other."""
     if a == b:
@@ -188,7 +188,7 @@ def encoded() -> Column:
     return F.concat_ws(_FIELD, F.coalesce("kind", F.lit("")), *[F.concat_ws(_ITEM, c) for c in (names, births, F.col("countries"), F.col("numbers"), weights)])
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=512)
 def parsed(text: str) -> tuple[Profile, dict[str, float]]:
     kind, names, dates, countries, numbers, weights = text.split(_FIELD)
     items = lambda x: x.split(_ITEM) if x else []

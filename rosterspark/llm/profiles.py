@@ -33,7 +33,7 @@ def _initials_joined(x: Column) -> Column:
 
 def _sound(x: Column) -> Column:
     """Spellings of one sound alike; the words keep their blanks."""
-    x = F.regexp_replace(F.regexp_replace(x, r"(?<=[a-z])0|0(?=[a-z])", "o"), r"(?<=[a-z])1|1(?=[a-z])", "l")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?<=[a-z])0(?!\d)|(?<!\d)0(?=[a-z])", "o"), r"(?<=[a-z])1(?!\d)|(?<!\d)1(?=[a-z])", "l")
     for a, b in (("ph", "f"), ("kh", "h"), ("tsch", "ch"), ("sch", "sh"), ("tch", "ch"), ("ck", "k"), ("ou", "u"), ("ue", "u"), ("oe", "o"), ("ae", "a"), ("aa", "a"), ("x", "ks")):
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.regexp_replace(F.translate(x, "wyjqz", "viiks"), "c(?!h)", "k")

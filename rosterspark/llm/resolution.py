@@ -35,7 +35,7 @@ def block_keys(profiles: DataFrame, strong: float) -> DataFrame:
 
     def left_out(c: Column) -> Column:
         n = F.length(c)
-        one = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(100))))
+        one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(100))))
         return F.when(n >= 4, F.concat(F.array(c), one)).otherwise(F.array(c))
 
     keys = F.array_distinct(F.flatten(F.transform(_telling(strong), lambda t: left_out(consonants(t)))))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +36,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+    """``df`` written as a table to the shared checkpoint folder and read again: its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where the session has none
-    (local tests) is one made on this machine.
+    Written tables survive the loss of executors, and their sizes are known to the planner. The folder is the session's
+    ``spark.checkpoint.dir``; only where the session has none (local tests) is one made on this machine. The tables are
+    needed until the results that read them are done: ``release`` deletes them, at the latest when Python ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared is None:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"rosterspark-{sc.applicationId}"))
-    return df.checkpoint(eager=True)
+        shared = os.path.join(tempfile.gettempdir(), f"rosterspark-{sc.applicationId}")
+    path = f"{shared.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete the tables written by ``checkpointed``; results that still read them must be done."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def text_bytes(df: DataFrame) -> int:

@@ -90,7 +90,7 @@ def read_csv_list(spark: SparkSession, path: str, separator: str = ";", source:
         .when(row["source"].isNotNull() & (F.upper(row["source"]) != source), "sourceMismatch")
         .when(~F.coalesce(key.rlike(r"^[A-Za-z0-9_-]+$") & ~key.rlike(r"^__.*__$"), F.lit(False)), "invalidId")
     )
-    many = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    many = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     kind = F.lower(F.coalesce(row["type"], F.lit("individual")))
     street, city, country = get("street", "address"), get("city"), get("country")
     full = F.coalesce(row["full_address"], joined(street, city, country))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 NAME = "struct<whole_name:string,first_name:string,middle_name:string,last_name:string,strong:boolean,language:string,title:string,func:string>"
 BIRTH = "struct<raw:string,birth_year:int,birth_month:int,birth_day:int,year_range_from:int,year_range_to:int,circa:boolean,city:string,place:string,country_iso2:string>"
@@ -34,7 +35,7 @@ def filled(c: Column) -> Column:
     return F.nullif(text(c), F.lit(""))
 
 
-def items(c: Column, kind: str) -> Column:
+def items(c: Column, kind: str | DataType) -> Column:
     """An array column, empty for null."""
     return F.coalesce(c, F.array().cast(kind))
 

@@ -287,7 +287,7 @@ def read_ch(spark: SparkSession, path: str) -> DataFrame:
     kind = F.lower(text(F.col("object._object-type")))
     base = e.where(safe_key(key) & body.isNotNull()).select(key.alias("key"), F.when(F.col("individual").isNotNull(), "individual").when(F.col("entity").isNotNull(), "entity").when(kind.isin("vessel", "aircraft"), kind).otherwise("entity").alias("type"), body.alias("b"), F.col("modification").alias("m"))
     body_type = base.schema["b"].dataType
-    inner = {f.name: f.dataType.simpleString() for f in body_type["identity"].dataType.elementType.fields}
+    inner = {f.name: f.dataType for f in body_type["identity"].dataType.elementType.fields}
 
     def of(c: str) -> Column:
         return F.flatten(F.transform(F.coalesce(F.col("b.identity"), F.array().cast(body_type["identity"].dataType)), lambda i: items(i[c], inner[c])))
@@ -304,7 +304,7 @@ def read_ch(spark: SparkSession, path: str) -> DataFrame:
     births = F.transform(of("day-month-year"), lambda d: shaped(BIRTH, birth_year=_whole(d["_year"]), birth_month=_whole(d["_month"]), birth_day=_whole(d["_day"]), circa=F.when(text(d["_circa"]) == "true", True), raw=F.when(F.least(_whole(d["_day"]), _whole(d["_month"])).isNotNull() & _whole(d["_day"]).isNotNull() & _whole(d["_month"]).isNotNull(), F.concat_ws("-", _whole(d["_year"]).cast("string"), F.lpad(_whole(d["_month"]).cast("string"), 2, "0"), F.lpad(_whole(d["_day"]).cast("string"), 2, "0"))).otherwise(_whole(d["_year"]).cast("string"))))
     docs = F.transform(of("identification-document"), lambda d: shaped(DOCUMENT, number=F.coalesce(filled(d["number"]), filled(d["_number"])), type_description=filled(d["_document-type"]), issued_by=filled(d["issuer"]), country_iso2=filled(d["country"])))
     places = F.transform(of("address"), lambda a: shaped(ADDRESS, street=filled(a["street"]), city=filled(a["city"]), po_box=filled(a["p-o-box"]), region=filled(a["zip-code"]), country=filled(a["country"]), full_address=joined(a["address-details"], a["street"], a["p-o-box"], a["zip-code"], a["city"], a["country"])))
-    mods = items(F.col("m"), base.schema["m"].dataType.simpleString())
+    mods = items(F.col("m"), base.schema["m"].dataType)
     when = lambda m: F.coalesce(filled(m["_effective-date"]), filled(m["_publication-date"]), filled(m["_enactment-date"]))
     of_type = lambda t: F.filter(mods, lambda m: F.lower(text(m["_modification-type"])) == t)
     dates = lambda t: F.array_compact(F.transform(of_type(t), when))
@@ -314,5 +314,5 @@ def read_ch(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.size(found) > 0, F.transform(found, lambda x: x["n"])).otherwise(F.array(shaped(NAME, whole_name=F.concat(F.lit("Target "), F.col("key")), strong=F.lit(False)))).alias("names"),
         none_if_empty(F.filter(births, lambda b: b["birth_year"].isNotNull())).alias("birth_dates"), none_if_empty(F.filter(docs, lambda d: d["number"].isNotNull())).alias("identifications"),
         none_if_empty(F.filter(places, lambda a: a["full_address"].isNotNull())).alias("addresses"), F.coalesce(said("b.justification"), said("b.other-information")).alias("sanction_reason"),
-        F.when(F.size(of_type("de-listed")) > 0, "delisted").otherwise("active").alias("status"), F.element_at(dates("listed"), -1).alias("listed_at"), F.when(F.size(of_type("de-listed")) > 0, when(F.element_at(of_type("de-listed"), -1))).alias("delisted_at"),
+        F.when(F.size(of_type("de-listed")) > 0, "delisted").otherwise("active").alias("status"), F.try_element_at(dates("listed"), F.lit(-1)).alias("listed_at"), F.when(F.size(of_type("de-listed")) > 0, when(F.try_element_at(of_type("de-listed"), F.lit(-1)))).alias("delisted_at"),
     ))

@@ -37,3 +37,15 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p6_loaded": p6_loaded}
+
+_TRIMMED = ", ".join(f"trim(coalesce({c}::varchar, ''))" for c in ("type", "primary_name", "birth_date", "united_nation_id", "programme", "sanction_reason", "delisted_at"))
+_SET = "array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(citizenships, []), lambda x: trim(coalesce(x, ''))), lambda x: x <> ''))), '~')"
+_STATE = f"""select source, snapshot_no, record_id, concat_ws('|', {_TRIMMED}, {_SET}, coalesce(nullif(lower(trim(coalesce(status, ''))), ''), 'active')) as state from record_snapshot
+ qualify row_number() over (partition by source, snapshot_no, record_id order by line_no desc) = 1"""
+_STEPS = "select source, snapshot_no, lag(snapshot_no) over (partition by source order by snapshot_no) as prev from (select distinct source, snapshot_no from import_log where status = 'applied')"
+
+ORACLES = {
+    "p5_found": f"""with s as ({_STATE}), a as (select * from ({_STEPS}) where prev is not null),
+ n as (select a.source, a.snapshot_no, record_id, state from a join s on s.source = a.source and s.snapshot_no = a.snapshot_no), o as (select a.source, a.snapshot_no, record_id, state from a join s on s.source = a.source and s.snapshot_no = a.prev)
+ select source, snapshot_no, record_id, case when o.state is null then 'added' when n.state is null then 'removed' else 'changed' end as change_kind from n full outer join o using (source, snapshot_no, record_id) where n.state is distinct from o.state""",
+}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rosterspark.llm import agreement, words
 from rosterspark.session import checkpointed
 
-#: Profiles in a block above which its members must also share an initial, a year or a country.
+#: Profiles in a block above which only members meet whose other fields allow a match.
 HOT_BLOCK = 48
 
 _PARTS = ("kind", "names", "births", "countries", "numbers", "weights")
@@ -31,7 +31,7 @@ def _telling(strong: float) -> Column:
 
 
 def block_keys(profiles: DataFrame, strong: float) -> DataFrame:
-    """(entry_id, key, marks): keys of the telling words; marks are what splits a hot block."""
+    """(entry_id, key, marks, own, meets): keys of the telling words; the others are what splits a hot block."""
 
     def left_out(c: Column) -> Column:
         n = F.length(c)
@@ -39,15 +39,23 @@ def block_keys(profiles: DataFrame, strong: float) -> DataFrame:
         return F.when(n >= 4, F.concat(F.array(c), one)).otherwise(F.array(c))
 
     keys = F.array_distinct(F.flatten(F.transform(_telling(strong), lambda t: left_out(consonants(t)))))
-    initials = F.transform(F.filter("weights", lambda x: x["w"] < strong), lambda x: F.concat(F.lit("i"), F.substring(x["t"], 1, 1)))
-    years = F.flatten(F.transform("births", lambda b: F.transform(F.sequence(b["y1"] - 3, F.least(b["y2"], b["y1"] + 10) + 3), lambda y: F.concat(F.lit("y"), y.cast("string")))))
+    return profiles.select("entry_id", F.explode(keys).alias("k"), *split_by()).select("entry_id", F.xxhash64("k").alias("key"), "marks", "own", "meets")
+
+
+def split_by() -> list[Column]:
+    """marks, own, meets: ``agreement`` accepts two profiles only if they share a mark (a year that fits, a country, a number), or if
+    neither births nor countries decide, as one of the two lacks them: then ``own`` of one is among ``meets`` of the other."""
+    years = F.flatten(F.transform("births", lambda b: F.transform(F.sequence(b["y1"] - 3, F.greatest(b["y1"], b["y2"]) + 3), lambda y: F.concat(F.lit("y"), y.cast("string")))))
     lands = F.transform("countries", lambda c: F.concat(F.lit("c"), c))
-    marks = F.array_distinct(F.concat(initials, years, lands, "numbers"))
-    return profiles.select("entry_id", F.explode(keys).alias("k"), marks.alias("marks")).select("entry_id", F.xxhash64("k").alias("key"), "marks")
+    births, countries = F.size("births") > 0, F.size("countries") > 0
+    own = F.when(births & countries, "has:both").when(births, "has:births").when(countries, "has:countries").otherwise("has:none")
+    few = lambda *x: F.array(*[F.lit(f"has:{w}") for w in ("none", *x)])
+    meets = F.when(births & countries, few()).when(births, few("countries")).when(countries, few("births")).otherwise(few("births", "countries", "both"))
+    return [F.array_distinct(F.concat(years, lands, "numbers")).alias("marks"), own.alias("own"), meets.alias("meets")]
 
 
 def candidates(profiles: DataFrame, strong: float, hot: int = HOT_BLOCK) -> DataFrame:
-    """(a, b), a < b, of profiles that meet in a block. Profiles of a hot block without marks meet all of it: equal ones are one profile already, so these are few."""
+    """(a, b), a < b, of profiles that meet in a block. In a hot block those are left out that ``agreement`` cannot accept by their other fields."""
     keys = checkpointed(block_keys(profiles, strong))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocked = keys.join(sizes, "key")
@@ -55,9 +63,8 @@ def candidates(profiles: DataFrame, strong: float, hot: int = HOT_BLOCK) -> Data
     split = busy.select("entry_id", "key", F.explode("marks").alias("m")).select("entry_id", F.xxhash64("key", "m").alias("key"))
     same = calm.select("entry_id", "key").unionByName(split)
     pairs = same.select(F.col("entry_id").alias("a"), "key").join(same.select(F.col("entry_id").alias("b"), "key"), "key").where("a < b").select("a", "b")
-    bare = busy.where(F.size("marks") == 0).select(F.col("entry_id").alias("p"), "key")
-    with_bare = busy.select("entry_id", "key").join(bare, "key").where("entry_id <> p").select(F.least("entry_id", "p").alias("a"), F.greatest("entry_id", "p").alias("b"))
-    return pairs.unionByName(with_bare).distinct()
+    open_ = busy.select(F.col("entry_id").alias("a"), "key", F.col("own").alias("has")).join(busy.select(F.col("entry_id").alias("b"), "key", F.explode("meets").alias("has")), ["key", "has"])
+    return pairs.unionByName(open_.where("a < b").select("a", "b")).distinct()
 
 
 def judged(pairs: DataFrame, profiles: DataFrame, variants: frozenset[tuple[str, str]], strong: float, more: list[str] = []) -> DataFrame:

@@ -25,7 +25,7 @@ HALF = 4
 RARE_PART = 0.6
 #: Least similarity of two words left over that count as one.
 WORD_SIMILARITY = 0.7
-#: Rows in a block above which its members must also share a further token.
+#: Classes in a block above which it is compared in tiles of parts of about this size, spread over tasks.
 HOT_BLOCK = 64
 
 # Words that name the kind of street, or note what is no part of a place.
@@ -125,13 +125,13 @@ def classes(rows: DataFrame, key: str, reference: DataFrame) -> tuple[DataFrame,
 
 
 def _block_keys(profiles: DataFrame) -> DataFrame:
-    """(class_id, house, tokens, key, others): each half of each rare word with the house numbers."""
+    """(class_id, key): each half of each rare word with the house numbers."""
     named = F.filter("tokens", lambda t: ~t["token"].rlike("^[cz]:"))
     ordered = F.transform(F.array_sort(F.transform(named, lambda t: F.struct((-t["w"]).alias("w"), t["token"].alias("token")))), lambda t: F.struct(t["token"].alias("token"), (-t["w"]).alias("w")))
     rare = F.slice(F.filter(ordered, lambda t: t["w"] >= RARE_PART * ordered[0]["w"]), 1, RARE_WORDS)
-    halves = F.flatten(F.transform(rare, lambda t: F.array(F.struct(F.concat(F.lit("<"), F.substring(t["token"], 1, HALF)).alias("half"), t["token"].alias("of")), F.struct(F.concat(F.lit(">"), F.right(t["token"], F.lit(HALF))).alias("half"), t["token"].alias("of")))))
-    rows = profiles.select("class_id", "house", "tokens", F.explode(halves).alias("h"))
-    return rows.select("class_id", F.xxhash64("house", "h.half").alias("key"), F.transform(F.filter("tokens", lambda t: t["token"] != F.col("h.of")), lambda t: t["token"]).alias("others")).groupBy("class_id", "key").agg(F.first("others").alias("others"))
+    halves = F.flatten(F.transform(rare, lambda t: F.array(F.concat(F.lit("<"), F.substring(t["token"], 1, HALF)), F.concat(F.lit(">"), F.right(t["token"], F.lit(HALF))))))
+    rows = profiles.select("class_id", "house", F.explode(F.array_distinct(halves)).alias("half"))
+    return rows.select("class_id", F.xxhash64("house", "half").alias("key"))
 
 
 def overlap(a: Column, b: Column, rarest_a: Column, rarest_b: Column) -> Column:
@@ -172,21 +172,14 @@ def overlap(a: Column, b: Column, rarest_a: Column, rarest_b: Column) -> Column:
 def links(profiles: DataFrame, hot: int = HOT_BLOCK, least: float = LEAST_OVERLAP) -> DataFrame:
     """(class_a, class_b, overlap), class_a < class_b, of classes of the same building.
 
-    Blocks of more than ``hot`` classes are split: their members meet only if they share a further token, or if one
-    of them has at most one more (few profiles are that poor, so such pairs stay linear in the block).
+    All classes of a block are compared; a block of more than ``hot`` is cut into parts, and each part meets itself and each other part.
     """
     keys = _block_keys(profiles)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocked = checkpointed(keys.join(sizes, "key"))
-    calm = blocked.where(F.col("n") <= hot).select("class_id", "key")
-    busy = blocked.where(F.col("n") > hot)
-    shared = busy.select("class_id", F.explode("others").alias("o"), "key").select("class_id", F.xxhash64("key", "o").alias("key"))
-    same = calm.unionByName(shared)
-    poor = busy.where(F.size("others") <= 1).select(F.col("class_id").alias("p"), "key")
-    left, right = same.select(F.col("class_id").alias("class_a"), "key"), same.select(F.col("class_id").alias("class_b"), "key")
-    pairs = left.join(right, "key").where("class_a < class_b").select("class_a", "class_b")
-    with_poor = busy.select("class_id", "key").join(poor, "key").where("class_id <> p").select(F.least("class_id", "p").alias("class_a"), F.greatest("class_id", "p").alias("class_b"))
-    pairs = pairs.unionByName(with_poor).distinct()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    cut = checkpointed(keys.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")))
+    left = cut.select(F.col("class_id").alias("class_a"), "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    right = cut.select(F.col("class_id").alias("class_b"), "key", F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["key", "part", "other"]).where("class_a < class_b").select("class_a", "class_b").distinct()
     a = profiles.select(F.col("class_id").alias("class_a"), F.col("tokens").alias("ta"), F.col("rarest").alias("ra"), F.col("house").alias("ha"))
     b = profiles.select(F.col("class_id").alias("class_b"), F.col("tokens").alias("tb"), F.col("rarest").alias("rb"), F.col("house").alias("hb"))
     full = pairs.join(a, "class_a").join(b, "class_b").where("ha = hb")

@@ -45,6 +45,16 @@ def test_hot_blocks_lose_nothing(spark):
     assert cold and hot == cold
 
 
+def test_hot_blocks_without_a_common_token(spark):
+    """Same number and street in many classes, the city mistyped: found in a large block too, as in a small one."""
+    street = ("trikhegren", 5.7)
+    rows = [("x", "117", [street, ("stockholm", 3.2), ("c:SE", 2.5)], "trikhegren"), ("y", "117", [street, ("stokholm", 8.0), ("z:11122", 6.0)], "trikhegren")]
+    rows += [(f"f{i:03}", "117", [street, (f"fyll{chr(97 + i % 26)}orken{chr(97 + i // 26)}", 9.0), (f"z:{20000 + i}", 9.0)], "trikhegren") for i in range(100)]
+    df = spark.createDataFrame(rows, "class_id string, house string, tokens array<struct<token:string,w:double>>, rarest string")
+    cold = {tuple(r)[:2] for r in links(df, hot=10**6).collect()}
+    assert ("x", "y") in cold and {tuple(r)[:2] for r in links(df).collect()} == cold
+
+
 def test_empty(spark):
     df = frame(spark, SAME)
     assert same_building(df.where("false"), "address_id", ref(spark)).count() == 0

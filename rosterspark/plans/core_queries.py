@@ -97,11 +97,14 @@ _PAIRS = f"""select a.alias_id, {sql_norm('p.whole_name')} as p, {sql_norm('a.wh
 _ASCII = "regexp_full_match(p, '[ -~]+') and regexp_full_match(a, '[ -~]+')"
 
 
-def alias_pairs(spark, d):
+def all_alias_pairs(spark, d):
     a = t(spark, d, "name_alias")
     p = a.where("pos = 0").groupBy("record_id").agg(F.max_by("whole_name", "alias_id").alias("pn"))
-    both = a.join(p, "record_id").select("alias_id", tx.normalize_text(F.col("pn")).alias("p"), tx.normalize_text(F.col("whole_name")).alias("a"))
-    return both.where(F.col("p").rlike("^[ -~]+$") & F.col("a").rlike("^[ -~]+$"))
+    return a.join(p, "record_id").select("alias_id", tx.normalize_text(F.col("pn")).alias("p"), tx.normalize_text(F.col("whole_name")).alias("a"))
+
+
+def alias_pairs(spark, d):
+    return all_alias_pairs(spark, d).where(F.col("p").rlike("^[ -~]+$") & F.col("a").rlike("^[ -~]+$"))
 
 
 @query("fn05_jaro", f"select alias_id, round(jaro_similarity(p, a), 6) as jaro from ({_PAIRS}) where {_ASCII}")
@@ -114,6 +117,18 @@ def fn06(spark, d):
     return alias_pairs(spark, d).select("alias_id", F.round(similarity.jaro_winkler_udf("p", "a"), 6).alias("jw"))
 
 
+@query("fn05_jaro_all")
+def fn05_all(spark, d):
+    """Names of every script; no SQL (that of ``fn05_jaro`` keeps to plain ASCII)."""
+    return all_alias_pairs(spark, d).where("p <> '' and a <> ''").select("alias_id", F.round(similarity.jaro_udf("p", "a"), 6).alias("jaro"))
+
+
+@query("fn06_jaro_winkler_all")
+def fn06_all(spark, d):
+    """As ``fn05_all``."""
+    return all_alias_pairs(spark, d).where("p <> '' and a <> ''").select("alias_id", F.round(similarity.jaro_winkler_udf("p", "a"), 6).alias("jw"))
+
+
 @query("fn07_word_weight", f"select w, case when w in ('al','bin','ibn','el','abu','van','de') then 0.3 else 1.0 end::double as weight from ({NAME_WORDS})")
 def fn07(spark, d):
     return name_words(spark, d).select("w", similarity.word_weight(F.col("w")).cast("double").alias("weight"))
@@ -613,7 +628,7 @@ def dml08(spark, d):
 def dml10(spark, d):
     r = t(spark, d, "sanction_record").select("id", "source", "type", "programme", "sanction_reason")
     new = t(spark, d, "test_pep").where("id is not null").select("id").distinct().select("id", F.lit("CUSTOM").alias("source"), F.lit("individual").alias("type"), F.lit("NEW").alias("programme"), F.lit(None).cast("string").alias("sanction_reason"))
-    inserted = overlay.insert_missing(r, new.unionByName(r.limit(5)), "id")
+    inserted = overlay.insert_missing(r, new.unionByName(r), "id")
     patched = overlay.patch(inserted, r.where("source = 'EU'").select("id", F.lit("patched").alias("sanction_reason")), "id")
     left = overlay.delete_custom(patched, r.where("type = 'entity'").select("id"), "id")
     return left.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("programme") == "NEW").alias("fresh"), F.count_if(F.col("sanction_reason") == "patched").alias("patched"))
@@ -667,8 +682,10 @@ def sim05(spark, d):
 
 @query("sim09_explain")
 def sim09(spark, d):
-    q, r, n, _ = screening_inputs(spark, d)
-    return screening.explain(screening.ranked(screening.screen(q, r, n, screening.Options(threshold=85)), 3), q)
+    """All hits that the screening lists, at its own threshold and limit."""
+    q, r, n, numbers = screening_inputs(spark, d)
+    hits = screening.screen(q, r, n, screening.Options(threshold=screening.PORTFOLIO_THRESHOLD), numbers)
+    return screening.explain(screening.ranked(hits, screening.LIMIT), q)
 
 
 @query("jn01_blocking_recall_gap")

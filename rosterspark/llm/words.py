@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 STRONG_PART = 0.55
 #: Entries that must use two words in the same place before they count as variants of each other.
 VARIANT_SUPPORT = 3
-#: Largest table of variants that is given to all tasks; above it the support asked for is doubled.
-VARIANT_ROWS = 100_000
 
 
 def with_weights(profiles: DataFrame, total: int) -> DataFrame:
@@ -30,8 +28,8 @@ def strong_weight(total: int) -> float:
 def variants(profiles: DataFrame, support: int = VARIANT_SUPPORT) -> frozenset[tuple[str, str]]:
     """Pairs of words that stand for each other in the names of ``support`` or more entries.
 
-    Two names of one entry with all words but one in common, and at least one in common, give a pair. The table is
-    about as large as the nicknames of the languages there are; its size is checked before it is collected.
+    Two names of one entry with all words but one in common, and at least one in common, give a pair. The whole
+    table is collected, whatever its size, so that the support asked for does not depend on it.
     """
     slim = profiles.where(F.size("names") > 1).select("entry_id", "names")
     a = slim.select("entry_id", "names", F.explode("names").alias("a"))
@@ -39,8 +37,4 @@ def variants(profiles: DataFrame, support: int = VARIANT_SUPPORT) -> frozenset[t
     only_a, only_b = F.array_except("a", "b"), F.array_except("b", "a")
     one = b.where((F.size(only_a) == 1) & (F.size(only_b) == 1)).select("entry_id", only_a[0].alias("x"), only_b[0].alias("y")).where((F.length("x") > 2) & (F.length("y") > 2) & (F.col("x") < F.col("y")))
     counted = one.groupBy("x", "y").agg(F.count_distinct("entry_id").alias("n"))
-    while True:
-        found = counted.where(F.col("n") >= support).limit(VARIANT_ROWS + 1).collect()
-        if len(found) <= VARIANT_ROWS:
-            return frozenset((r.x, r.y) for r in found)
-        support *= 2
+    return frozenset((r.x, r.y) for r in counted.where(F.col("n") >= support).select("x", "y").toLocalIterator())

@@ -9,14 +9,13 @@ rarity weights in which a repaired word counts by its similarity.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.functions.text import strip_accents
 from rosterspark.llm import places
-from rosterspark.session import bounded_broadcast
+from rosterspark.session import checkpointed
 
 #: Least soft cosine of a value with the entry it is mapped to.
 LEAST_SCORE = 0.72
@@ -26,19 +25,23 @@ FORM_WEIGHT = 0.35
 _UNMATCHED = "-"
 
 
-def plain_words(c: Column) -> Column:
-    """Lower case without accents, initials with full stops as one word, only letters and digits."""
+def plain_words(c: Column, notes: bool = False) -> Column:
+    """Lower case without accents, initials with full stops as one word, only letters and digits; a note in brackets is left out unless ``notes``."""
     x = strip_accents(F.lower(F.coalesce(c, F.lit(""))))
     for a, b in (("ß", "ss"), ("ø", "o"), ("æ", "ae"), ("ł", "l"), ("đ", "d")):
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.regexp_replace(x, r"(?<![\p{L}\p{N}])(\p{L})\.(?=\p{L}(?:\.|$|\s))", "$1")
-    noted = F.regexp_replace(x, r"[\[(][^\])]*[\])]", " ")
-    x = F.when(noted.rlike(r"[\p{L}\p{N}]"), noted).otherwise(x)  # a note in brackets beside the value
+    if not notes:
+        noted = F.regexp_replace(x, r"[\[(][^\])]*[\])]", " ")
+        x = F.when(noted.rlike(r"[\p{L}\p{N}]"), noted).otherwise(x)  # a note in brackets beside the value
     return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
 
 
-def left_out(word: Column) -> Column:
-    """The word, and its forms with one letter left out (from 4 letters) or two (from 6)."""
+def left_out(word: Column, longest: Column) -> Column:
+    """The word, and its forms with one letter left out (from 4 letters) or two (from 6).
+
+    A word over three letters longer than ``longest``, the longest of the vocabulary, is no misspelling of any of its words and has no forms.
+    """
     n = F.length(word)
 
     def without_one(w: Column) -> Column:
@@ -47,7 +50,8 @@ def left_out(word: Column) -> Column:
     one = without_one(word)
     two = F.flatten(F.transform(one, without_one))
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.array(word), F.when(n >= 4, one).otherwise(none), F.when((n >= 6) & (n <= 24), two).otherwise(none)))
+    near = n <= longest + 3
+    return F.array_distinct(F.concat(F.array(word), F.when((n >= 4) & near, one).otherwise(none), F.when((n >= 6) & near, two).otherwise(none)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -60,63 +64,60 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(distance <= most, 1 - distance / length)
 
 
-def vocabulary(spark: SparkSession, entries: list[tuple[str, str]], form_words: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(word -> weight, keys) and (phrase id -> code, words, norm) of the reference entries; both as small as those are."""
-    by_word: dict[str, set[str]] = {}
-    for code, phrase in entries:
-        for w in phrase.split():
-            by_word.setdefault(w, set()).add(code)
-    codes = len({c for c, _ in entries})
-    weight = {w: FORM_WEIGHT if w in form_words else 1 + math.log(codes / len(c)) for w, c in by_word.items()}
-    for w in form_words:
-        weight.setdefault(w, FORM_WEIGHT)
-    words = spark.createDataFrame([(w, float(x), w in form_words) for w, x in sorted(weight.items())], "known string, weight double, form boolean")
-    rows = []
-    for i, (code, phrase) in enumerate(entries):
-        counts = Counter(phrase.split())
-        norm = math.sqrt(sum(weight[w] ** 2 for w in counts))
-        only_form = all(w in form_words for w in counts)
-        rows += [(i, code, w, norm, only_form or w not in form_words) for w in counts]
-    return words, spark.createDataFrame(rows, "phrase int, code string, known string, phrase_norm double, telling boolean")
-
-
-def map_values(values: DataFrame, column: str, entries: list[tuple[str, str]], form_words: list[str], preferred: list[str] = [], least: float = LEAST_SCORE) -> DataFrame:
-    """(column, code, score) of each distinct value: the best entry's code, or ``-`` with the score below ``least``.
-
-    Null, empty and wordless values map to ``-``. Ties go to ``preferred`` codes, then more words matched, then the smaller code.
+def vocabulary(entries: DataFrame, form_words: list[str]) -> tuple[DataFrame, DataFrame, float, int]:
+    """(known, weight, form), (phrase, code, listed, known, phrase_norm, telling), weight of an unknown word, and letters of the longest word.
+
+    ``entries``: code, phrase (plain words), listed. A word weighs the more the fewer codes have it; form words weigh little.
+    """
+    spark = entries.sparkSession
+    each = checkpointed(entries.select("code", "listed", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("known")).where("known <> ''"))
+    size = each.agg(F.count_distinct("code").alias("codes"), F.max(F.length("known")).alias("longest")).first()
+    unknown = 1 + math.log(max(1, size.codes))
+    forms = spark.createDataFrame([(w,) for w in form_words], "known string").withColumn("form", F.lit(True))
+    counted = each.groupBy("known").agg(F.count_distinct("code").alias("n")).join(forms, "known", "full_outer")
+    form = F.coalesce("form", F.lit(False))
+    words = checkpointed(counted.select("known", F.when(form, FORM_WEIGHT).otherwise(unknown - F.log(F.col("n").cast("double"))).alias("weight"), form.alias("form")))
+    per = each.join(words, "known").groupBy("code", "phrase").agg(F.first("listed").alias("listed"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("phrase_norm"), F.min("form").alias("only_form"), F.collect_list(F.struct("known", "form")).alias("w"))
+    phrases = per.select("code", "phrase", "listed", "phrase_norm", "only_form", F.explode("w").alias("w")).select("phrase", "code", "listed", "w.known", "phrase_norm", (F.col("only_form") | ~F.col("w.form")).alias("telling"))
+    return words, checkpointed(phrases), unknown, size.longest or 0
+
+
+def map_values(values: DataFrame, column: str, entries: DataFrame, form_words: list[str], least: float = LEAST_SCORE) -> DataFrame:
+    """(column, code, score, listed) of each distinct value: the best entry's code, or ``-`` with the score below ``least``.
+
+    ``entries``: code, phrase (by ``plain_words``), listed; a table of any size. Null, empty and wordless values map to ``-``.
+    Ties go to listed entries, then more words matched, then the smaller code.
     """
-    spark = values.sparkSession
-    words, phrases = vocabulary(spark, entries, form_words)
-    words, phrases = bounded_broadcast(words), bounded_broadcast(phrases)
+    words, phrases, unknown_weight, most = vocabulary(entries, form_words)
+    longest = F.lit(most)
     distinct = values.select(F.col(column).alias("value")).distinct().withColumn("plain", plain_words(F.col("value")))
+    distinct = checkpointed(distinct)
     # values that differ only in case, accents and punctuation share one comparison
     plain = distinct.select("plain").distinct().where("plain != ''").withColumn("typed", F.explode(F.array_distinct(F.split("plain", " "))))
-    typed = plain.select("typed").distinct()
-    keys = words.select("known", "weight", "form", F.explode(left_out(F.col("known"))).alias("key"))
-    pairs = typed.select("typed", F.explode(left_out(F.col("typed"))).alias("key")).join(bounded_broadcast(keys), "key").select("typed", "known", "weight", "form").distinct()
-    repaired = pairs.withColumn("sim", similarity(F.col("typed"), F.col("known"))).where("sim is not null")
+    # a form is met by its hash; what two words have in common by accident of it their distance tells apart
+    keys = words.select("known", "weight", F.explode(left_out(F.col("known"), longest)).alias("key")).select("known", "weight", F.xxhash64("key").alias("key"))
+    typed = plain.select("typed").distinct().select("typed", F.explode(left_out(F.col("typed"), longest)).alias("key")).select("typed", F.xxhash64("key").alias("key"))
+    pairs = typed.join(keys, "key").select("typed", "known", "weight").distinct()
+    repaired = checkpointed(pairs.withColumn("sim", similarity(F.col("typed"), F.col("known"))).where("sim is not null"))
     # words too short for repair may still be a mistyped form word
-    short = F.lit(False)
-    for w in form_words:
-        if len(w) <= 3:
-            short = short | ((F.length("typed") <= 3) & (F.levenshtein(F.col("typed"), F.lit(w)) <= len(w) // 2))
-    unknown = F.when(short, F.lit(FORM_WEIGHT)).otherwise(F.lit(1 + math.log(len({c for c, _ in entries}))))
+    short = F.array(*[F.lit(w) for w in form_words if len(w) <= 3]) if any(len(w) <= 3 for w in form_words) else F.array().cast("array<string>")
+    mistyped = (F.length("typed") <= 3) & F.exists(short, lambda w: F.levenshtein(F.col("typed"), w) <= F.floor(F.length(w) / 2))
+    unknown = F.when(mistyped, F.lit(FORM_WEIGHT)).otherwise(F.lit(unknown_weight))
     own = repaired.groupBy("typed").agg(F.max_by("weight", F.struct("sim", -F.col("weight"))).alias("own_weight"))
     norms = plain.join(own, "typed", "left").groupBy("plain").agg(F.sqrt(F.sum(F.pow(F.coalesce("own_weight", unknown), F.lit(2)))).alias("value_norm"))
     hits = plain.join(repaired.join(own, "typed"), "typed").join(phrases, "known")
-    hits = hits.select("plain", "phrase", "code", "phrase_norm", "typed", "known", "telling", (F.col("sim") * F.col("weight") ** 2).alias("part"), (F.col("weight") ** 2 - F.col("own_weight") ** 2).alias("swap"))
+    hits = hits.select("plain", "phrase", "code", "listed", "phrase_norm", "typed", "known", "telling", (F.col("sim") * F.col("weight") ** 2).alias("part"), (F.col("weight") ** 2 - F.col("own_weight") ** 2).alias("swap"))
     # a typed word stands for one word of an entry, and a word of an entry is met once
-    entry = ["plain", "phrase", "code", "phrase_norm"]
+    entry = ["plain", "phrase", "code", "listed", "phrase_norm"]
     once = hits.groupBy(*entry, "typed").agg(F.max(F.struct("part", "known", "telling", "swap")).alias("m")).groupBy(*entry, "m.known").agg(F.max(F.struct("m.part", "m.telling", "m.swap")).alias("m"))
     scored = once.groupBy(*entry).agg(F.sum("m.part").alias("dot"), F.max("m.telling").alias("telling"), F.sum("m.swap").alias("swap"), F.count("*").alias("matched")).where("telling")
     # in the value's norm, a word that is met counts with the weight of the word it stands for
     cosine = F.least(F.lit(1.0), F.col("dot") / (F.col("phrase_norm") * F.sqrt(F.pow("value_norm", F.lit(2)) + F.col("swap"))))
-    listed = F.col("code").isin(preferred) if preferred else F.lit(False)
-    ranked = scored.join(norms, "plain").select("plain", "code", F.round(cosine, 6).alias("score"), "matched", listed.alias("listed"))
-    best = ranked.groupBy("plain").agg(F.max_by(F.struct("code", "score"), F.struct("score", "listed", "matched", _falling("code"))).alias("b"))
+    ranked = scored.join(norms, "plain").select("plain", "code", F.round(cosine, 6).alias("score"), "matched", "listed")
+    best = ranked.groupBy("plain").agg(F.max_by(F.struct("code", "score", "listed"), F.struct("score", "listed", "matched", _falling("code"))).alias("b"))
     found = distinct.join(best, "plain", "left")
-    good = F.coalesce(F.col("b.score"), F.lit(0.0)) >= least
-    return found.select(F.col("value").alias(column), F.when(good, F.col("b.code")).otherwise(_UNMATCHED).alias("code"), F.coalesce(F.col("b.score"), F.lit(0.0)).alias("score"))
+    score = F.coalesce(F.col("b.score"), F.lit(0.0))
+    return found.select(F.col("value").alias(column), F.when(score >= least, F.col("b.code")).otherwise(_UNMATCHED).alias("code"), score.alias("score"), F.coalesce((score >= least) & F.col("b.listed"), F.lit(False)).alias("listed"))
 
 
 def _falling(code: str) -> Column:
@@ -127,14 +128,12 @@ def _falling(code: str) -> Column:
 def map_countries(values: DataFrame, column: str, reference: DataFrame) -> DataFrame:
     """(column, code, score) with codes of ``reference`` (iso2, iso3, country_name) only: others are ``-``.
 
-    The reference list is the canonical one and small (it is read to the driver, some hundred rows at most in the world).
+    The world's other countries stand in the vocabulary beside, so that a value that means one of them is not bent to a listed one.
     """
-    spark = values.sparkSession
-    listed = [r for r in reference.select("iso2", "iso3", "country_name").distinct().limit(1000).collect() if r.iso2]
-    entries = set(places.country_names(spark))
-    for r in listed:
-        for name in (r.iso2, r.iso3, r.country_name):
-            if name:
-                entries.add((r.iso2, places.plain(name)))
-    mapped = map_values(values, column, sorted(entries), places.FORM_WORDS, [r.iso2 for r in listed])
-    return mapped.withColumn("code", F.when(F.col("code").isin([r.iso2 for r in listed]), F.col("code")).otherwise(_UNMATCHED))
+    listed = reference.where("iso2 is not null").select("iso2", "iso3", "country_name")
+    codes = listed.select(F.col("iso2").alias("code")).distinct().withColumn("listed", F.lit(True))
+    named = listed.select(F.col("iso2").alias("code"), F.explode(F.array("iso2", "iso3", "country_name")).alias("name")).select("code", plain_words(F.col("name"), notes=True).alias("phrase"))
+    world = values.sparkSession.createDataFrame(places.country_names(values.sparkSession), "code string, phrase string")
+    entries = world.unionByName(named).where("phrase <> ''").distinct().join(codes, "code", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    mapped = map_values(values, column, entries, places.FORM_WORDS)
+    return mapped.select(column, F.when(F.col("listed"), F.col("code")).otherwise(_UNMATCHED).alias("code"), "score")

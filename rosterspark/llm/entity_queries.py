@@ -27,8 +27,8 @@ def country_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = table(spark, sf_dir, "country_ref")
     entries = country_entries(spark, sf_dir)
-    literal = [x for r in reference.select("iso2", "country_name").collect() for x in r if x]
-    typed = entries.where(~F.col("entry").isin(literal))
+    literal = reference.select(F.explode(F.array("iso2", "country_name")).alias("entry")).where("entry is not null").distinct()
+    typed = checkpointed(entries.join(literal, "entry", "left_anti"))
     mapped = canonical.map_countries(typed, "entry", reference)
     return typed.join(mapped, "entry").select("src_table", "row_key", "field_name", "pos", F.col("code").alias("iso2"))
 

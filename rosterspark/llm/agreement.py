@@ -135,22 +135,21 @@ class Judge:
         return not a or not b or any(self.word(x, y) >= 0.7 for x in a for y in b)
 
     def verdict(self, p: Profile, q: Profile, weight: dict[str, float]) -> tuple[bool, int]:
-        """(same, evidence): evidence adds name level, births, countries and numbers."""
+        """(same, level): level is that of the names, 0 or less where they do not match."""
         if p.kind and q.kind and p.kind != q.kind:
             return False, 0
         level = self.names(p, q, weight)
         if level <= 0:
-            return False, 0
+            return False, level
         when, where = births(p, q), _common(p.countries, q.countries)
-        number = 1 if p.numbers & q.numbers else 0
-        evidence = level + when + where + 3 * number
+        number = bool(p.numbers & q.numbers)
         if number and when >= 0:
-            return True, evidence
+            return True, level
         if when < 0:
-            return bool(number and level == 2), evidence
+            return number and level == 2, level
         if level == 2:
-            return when > 0 or where >= 0, evidence
-        return when > 0 or where > 0 or (p.kind in ("E", "V", "A") and where >= 0), evidence
+            return when > 0 or where >= 0, level
+        return when > 0 or where > 0 or (p.kind in ("E", "V", "A") and where >= 0), level
 
 
 def _common(a: frozenset, b: frozenset) -> int:
@@ -177,6 +176,34 @@ def births(p: Profile, q: Profile) -> int:
     return max((_births(a, b) for a in p.births for b in q.births), default=0)
 
 
+#: Fields beside the names, by which pairs are ruled out before names are compared.
+LIGHT = ("kind", "births", "countries", "numbers")
+
+_MONTHS = "x.m is not null and y.m is not null"
+_BIRTHS_OF_TWO = f"""case
+ when {_MONTHS} and x.d is not null and y.d is not null then case
+  when x.m = y.m and x.d = y.d then case when gap = 0 then 2 when gap <= 3 then 1 else -1 end
+  when gap = 0 and ((x.m = y.d and x.d = y.m) or x.m = y.m or x.d = y.d) then 1 else -1 end
+ when {_MONTHS} then case when x.m = y.m and gap <= 3 then 1 else -1 end
+ when gap <= 1 then 1 else -1 end""".replace("gap", "greatest(0, x.y1 - y.y2, y.y1 - x.y2)")
+
+
+def beside(a: str, b: str) -> tuple[Column, Column, Column]:
+    """(births, countries, number) of two profiles in columns ``a`` and ``b`` (structs with ``LIGHT``): as ``births`` and ``_common`` above, and 1 for a common number."""
+    when = F.expr(f"coalesce(array_max(flatten(transform({a}.births, x -> transform({b}.births, y -> {_BIRTHS_OF_TWO})))), 0)")
+    where = F.expr(f"case when size({a}.countries) = 0 or size({b}.countries) = 0 then 0 when arrays_overlap({a}.countries, {b}.countries) then 1 else -1 end")
+    return when, where, F.expr(f"cast(arrays_overlap({a}.numbers, {b}.numbers) as int)")
+
+
+def not_excluded(births: Column, countries: Column, number: Column) -> Column:
+    """Whether two profiles may be of one: a common number, births that agree, or nothing in births and countries against it."""
+    return (number == 1) | (births > 0) | ((births == 0) & (countries >= 0))
+
+
+def of_one_kind(a: str, b: str) -> Column:
+    return F.expr(f"coalesce({a}.kind = {b}.kind, true)")
+
+
 _FIELD, _ITEM = "\x1e", "\x1f"
 
 
@@ -198,20 +225,19 @@ def parsed(text: str) -> tuple[Profile, dict[str, float]]:
 
 
 def judge_pairs(variants: frozenset[tuple[str, str]], strong: float, keep: list[str]):
-    """A ``mapInPandas`` function over pairs with ``body_a`` and ``body_b``: adds same, evidence, births."""
+    """A ``mapInPandas`` function over pairs with ``body_a`` and ``body_b``: adds same and level."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(variants, strong)
         for b in batches:
-            same, evidence, when = [], [], []
+            same, levels = [], []
             for x, y in zip(b["body_a"], b["body_b"]):
                 (p, wp), (q, wq) = parsed(x), parsed(y)
-                yes, e = judge.verdict(p, q, wp | wq)
+                yes, level = judge.verdict(p, q, wp | wq)
                 same.append(yes)
-                evidence.append(e)
-                when.append(births(p, q))
+                levels.append(level)
             out = b[keep].copy()
-            out["same"], out["evidence"], out["births"] = same, evidence, when
+            out["same"], out["level"] = same, levels
             yield out
 
     return run

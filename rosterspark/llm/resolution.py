@@ -16,13 +16,15 @@ from rosterspark.session import checkpointed
 
 #: Profiles in a block above which only members meet whose other fields allow a match.
 HOT_BLOCK = 48
+#: Merges of classes that are carried out together, as joins of one plan.
+MERGES_KEPT = 4
 
 _PARTS = ("kind", "names", "births", "countries", "numbers", "weights")
 
 
 def consonants(word: Column) -> Column:
     """First letter and consonants, runs as one: what most misspellings leave as it is."""
-    return F.regexp_replace(F.concat(F.substring(word, 1, 1), F.regexp_replace(F.substring(word, 2, 100), "[aeiouh]", "")), r"(.)\1+", "$1")
+    return F.regexp_replace(F.concat(F.substring(word, 1, 1), F.regexp_replace(F.substring(word, F.lit(2), F.length(word)), "[aeiouh]", "")), r"(.)\1+", "$1")
 
 
 def _telling(strong: float) -> Column:
@@ -31,72 +33,71 @@ def _telling(strong: float) -> Column:
 
 
 def block_keys(profiles: DataFrame, strong: float) -> DataFrame:
-    """(entry_id, key, marks, own, meets): keys of the telling words; the others are what splits a hot block."""
+    """(entry_id, key, new, light): keys of the telling words; ``light`` is what rules pairs out."""
 
     def left_out(c: Column) -> Column:
         n = F.length(c)
-        one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(100))))
+        one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
         return F.when(n >= 4, F.concat(F.array(c), one)).otherwise(F.array(c))
 
     keys = F.array_distinct(F.flatten(F.transform(_telling(strong), lambda t: left_out(consonants(t)))))
-    return profiles.select("entry_id", F.explode(keys).alias("k"), *split_by()).select("entry_id", F.xxhash64("k").alias("key"), "marks", "own", "meets")
+    return profiles.select("entry_id", F.explode(keys).alias("k"), "new", F.struct(*agreement.LIGHT).alias("light")).select("entry_id", F.xxhash64("k").alias("key"), "new", "light")
 
 
-def split_by() -> list[Column]:
-    """marks, own, meets: ``agreement`` accepts two profiles only if they share a mark (a year that fits, a country, a number), or if
+def split_by(of: str = "") -> list[Column]:
+    """marks, own, meets: two profiles that are ``not_excluded`` share a mark (a year that fits, a country, a number), or
     neither births nor countries decide, as one of the two lacks them: then ``own`` of one is among ``meets`` of the other."""
-    years = F.flatten(F.transform("births", lambda b: F.transform(F.sequence(b["y1"] - 3, F.greatest(b["y1"], b["y2"]) + 3), lambda y: F.concat(F.lit("y"), y.cast("string")))))
-    lands = F.transform("countries", lambda c: F.concat(F.lit("c"), c))
-    births, countries = F.size("births") > 0, F.size("countries") > 0
+    years = F.flatten(F.transform(of + "births", lambda b: F.transform(F.sequence(b["y1"] - 3, F.greatest(b["y1"], b["y2"]) + 3), lambda y: F.concat(F.lit("y"), y.cast("string")))))
+    lands = F.transform(of + "countries", lambda c: F.concat(F.lit("c"), c))
+    births, countries = F.size(of + "births") > 0, F.size(of + "countries") > 0
     own = F.when(births & countries, "has:both").when(births, "has:births").when(countries, "has:countries").otherwise("has:none")
     few = lambda *x: F.array(*[F.lit(f"has:{w}") for w in ("none", *x)])
     meets = F.when(births & countries, few()).when(births, few("countries")).when(countries, few("births")).otherwise(few("births", "countries", "both"))
-    return [F.array_distinct(F.concat(years, lands, "numbers")).alias("marks"), own.alias("own"), meets.alias("meets")]
+    return [F.array_distinct(F.concat(years, lands, of + "numbers")).alias("marks"), own.alias("own"), meets.alias("meets")]
 
 
 def candidates(profiles: DataFrame, strong: float, hot: int = HOT_BLOCK) -> DataFrame:
-    """(a, b), a < b, of profiles that meet in a block. In a hot block those are left out that ``agreement`` cannot accept by their other fields."""
+    """(a, b), a < b, one of them new, of profiles that meet in a block and that kind, births, countries and numbers do not exclude.
+
+    In a hot block they meet by what they have in common of these, so that pairs they exclude are never made.
+    """
     keys = checkpointed(block_keys(profiles, strong))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any")).where("n > 1 and any").select("key", "n")
     blocked = keys.join(sizes, "key")
-    calm, busy = blocked.where(F.col("n") <= hot), blocked.where(F.col("n") > hot)
-    split = busy.select("entry_id", "key", F.explode("marks").alias("m")).select("entry_id", F.xxhash64("key", "m").alias("key"))
-    same = calm.select("entry_id", "key").unionByName(split)
-    pairs = same.select(F.col("entry_id").alias("a"), "key").join(same.select(F.col("entry_id").alias("b"), "key"), "key").where("a < b").select("a", "b")
-    open_ = busy.select(F.col("entry_id").alias("a"), "key", F.col("own").alias("has")).join(busy.select(F.col("entry_id").alias("b"), "key", F.explode("meets").alias("has")), ["key", "has"])
-    return pairs.unionByName(open_.where("a < b").select("a", "b")).distinct()
+    calm, busy = blocked.where(F.col("n") <= hot), blocked.where(F.col("n") > hot).select("entry_id", "key", "new", "light", *split_by("light."))
+
+    def met(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+        x = rows.select(*on, F.col("entry_id").alias("a"), F.col("light").alias("la"), F.col("new").alias("na"))
+        y = other.select(*on, F.col("entry_id").alias("b"), F.col("light").alias("lb"), F.col("new").alias("nb"))
+        pairs = x.join(y, on).where((F.col("a") < F.col("b")) & (F.col("na") | F.col("nb")) & agreement.of_one_kind("la", "lb"))
+        return pairs.where(agreement.not_excluded(*agreement.beside("la", "lb"))).select("a", "b")
+
+    split = busy.withColumn("m", F.explode("marks"))
+    open_ = met(busy.withColumn("m", F.col("own")), busy.withColumn("m", F.explode("meets")), ["key", "m"])
+    return met(calm, calm, ["key"]).unionByName(met(split, split, ["key", "m"])).unionByName(open_).distinct()
 
 
 def judged(pairs: DataFrame, profiles: DataFrame, variants: frozenset[tuple[str, str]], strong: float, more: list[str] = []) -> DataFrame:
-    """``pairs`` (a, b, more...) with same, evidence and births by ``agreement``."""
-    body = profiles.select("entry_id", agreement.encoded().alias("body"))
-    full = pairs.join(body.select(F.col("entry_id").alias("a"), F.col("body").alias("body_a")), "a").join(body.select(F.col("entry_id").alias("b"), F.col("body").alias("body_b")), "b")
-    schema = pairs.select("a", "b", *more).schema.add("same", "boolean").add("evidence", "integer").add("births", "integer")
+    """``pairs`` (a, b, more...) with same and level by ``agreement``; ``profiles`` with ``body``."""
+    full = pairs.join(profiles.select(F.col("entry_id").alias("a"), F.col("body").alias("body_a")), "a").join(profiles.select(F.col("entry_id").alias("b"), F.col("body").alias("body_b")), "b")
+    schema = pairs.select("a", "b", *more).schema.add("same", "boolean").add("level", "integer")
     return full.select("a", "b", *more, "body_a", "body_b").mapInPandas(agreement.judge_pairs(variants, strong, ["a", "b", *more]), schema)
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    """(entry_id, root) for the ends of links: each to its least neighbour, then pointers are followed to the end."""
+def roots_of(links: DataFrame) -> DataFrame:
+    """(entry_id, root) for the ends of links: each points to its least neighbour, and pointers are followed to the end.
+
+    Every step doubles the way followed and writes one small table; classes are small, so that one step is the rule.
+    """
     both = links.select(F.col("b").alias("entry_id"), F.col("a").alias("to")).unionByName(links.select(F.col("a").alias("entry_id"), F.col("b").alias("to")))
     to = checkpointed(both.groupBy("entry_id").agg(F.min("to").alias("to")).select("entry_id", F.least("entry_id", "to").alias("root")))
+    beyond = lambda t, name: t.select(F.col("entry_id").alias("root"), F.col("root").alias(name))
     while True:
-        step = to.alias("x").join(to.select(F.col("entry_id").alias("root"), F.col("root").alias("next")), "root", "left").select("entry_id", "root", F.coalesce("next", "root").alias("next"))
-        step = checkpointed(step)
-        if step.where("next <> root").isEmpty():
-            return step.select("entry_id", "root")
-        to = step.select("entry_id", F.col("next").alias("root"))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(entry_id, root) of the connected components of links (a, b): roots are linked in their turn until none are left to link."""
-    labels = checkpointed(_roots(links))
-    while True:
-        named = links.join(labels.select(F.col("entry_id").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("entry_id").alias("b"), F.col("root").alias("rb")), "b")
-        left = checkpointed(named.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        if left.isEmpty():
-            return labels
-        up = checkpointed(_roots(left))
-        labels = checkpointed(labels.join(up.select(F.col("entry_id").alias("root"), F.col("root").alias("top")), "root", "left").select("entry_id", F.coalesce("top", "root").alias("root")))
+        twice = to.join(beyond(to, "next"), "root", "left").select("entry_id", F.coalesce("next", "root").alias("root"))
+        step = checkpointed(twice.join(beyond(to, "next"), "root", "left").select("entry_id", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")))
+        to = step.select("entry_id", "root")
+        if step.where("moved").isEmpty():
+            return to
 
 
 def merged(profiles: DataFrame) -> DataFrame:
@@ -112,21 +113,22 @@ def resolve(profiles: DataFrame, total: int, variants: frozenset[tuple[str, str]
     """
     strong = words.strong_weight(total)
     body = F.md5(F.to_json(F.struct(*[F.col(c) if c == "kind" else F.array_sort(c) for c in ("kind", "names", "births", "countries", "numbers")])).cast("binary"))
-    first = profiles.withColumn("body", F.when(F.size("names") > 0, body).otherwise(F.concat(F.lit("own:"), "entry_id")))
-    heads = first.groupBy("body").agg(F.min("entry_id").alias("root"))
-    members = checkpointed(first.select("entry_id", "body").join(heads, "body").select("entry_id", F.col("root").alias("class_id")))
-    now = checkpointed(profiles.join(heads.select(F.col("root").alias("entry_id")), "entry_id").select("entry_id", *_PARTS).withColumn("new", F.lit(True)))
+    first = profiles.withColumn("same", F.when(F.size("names") > 0, body).otherwise(F.concat(F.lit("own:"), "entry_id")))
+    heads = first.groupBy("same").agg(F.min("entry_id").alias("root"))
+    members = checkpointed(first.select("entry_id", "same").join(heads, "same").select("entry_id", F.col("root").alias("class_id")))
+    shown = lambda df, new: df.select("entry_id", *_PARTS, F.lit(new).alias("new"), agreement.encoded().alias("body"))
+    now = checkpointed(shown(profiles.where(F.size("names") > 0).join(heads.select(F.col("root").alias("entry_id")), "entry_id", "left_semi"), True))
+    merges = 0
     while True:
-        met = candidates(now.where(F.size("names") > 0), strong)
-        fresh = now.where("new").select("entry_id")
-        # pairs of two old profiles were judged in an earlier round
-        met = met.join(fresh.select(F.col("entry_id").alias("a"), F.lit(True).alias("na")), "a", "left").join(fresh.select(F.col("entry_id").alias("b"), F.lit(True).alias("nb")), "b", "left").where("na or nb").select("a", "b")
-        links = checkpointed(judged(met, now, variants, strong).where("same").select("a", "b"))
+        links = checkpointed(judged(candidates(now, strong), now, variants, strong).where("same").select("a", "b"))
         if links.isEmpty():
             return members
-        roots = checkpointed(_roots(links))
-        members = checkpointed(members.join(roots.select(F.col("entry_id").alias("class_id"), "root"), "class_id", "left").select("entry_id", F.coalesce("root", "class_id").alias("class_id")))
-        grown = merged(now.join(roots, "entry_id")).withColumn("new", F.lit(True))
+        roots = roots_of(links)
+        members = members.join(roots.select(F.col("entry_id").alias("class_id"), "root"), "class_id", "left").select("entry_id", F.coalesce("root", "class_id").alias("class_id"))
+        merges += 1
+        if merges % MERGES_KEPT == 0:
+            members = checkpointed(members)
+        grown = shown(merged(now.join(roots, "entry_id")), True)
         now = checkpointed(now.join(roots.select("entry_id"), "entry_id", "left_anti").withColumn("new", F.lit(False)).unionByName(grown.select(*now.columns)))
 
 

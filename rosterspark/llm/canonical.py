@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterspark.functions.text import strip_accents
@@ -70,16 +70,15 @@ def vocabulary(entries: DataFrame, form_words: list[str]) -> tuple[DataFrame, Da
     ``entries``: code, phrase (plain words), listed. A word weighs the more the fewer codes have it; form words weigh little.
     """
     spark = entries.sparkSession
-    each = checkpointed(entries.select("code", "listed", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("known")).where("known <> ''"))
+    each = entries.select("code", "listed", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("known")).where("known <> ''")
+    forms = spark.createDataFrame([(w,) for w in form_words], "known string").select("known", F.lit(None).cast("string").alias("code"))
+    counted = each.select("known", "code").unionByName(forms).groupBy("known").agg(F.collect_set("code").alias("codes"), F.max(F.col("code").isNull()).alias("form"))
     size = each.agg(F.count_distinct("code").alias("codes"), F.max(F.length("known")).alias("longest")).first()
     unknown = 1 + math.log(max(1, size.codes))
-    forms = spark.createDataFrame([(w,) for w in form_words], "known string").withColumn("form", F.lit(True))
-    counted = each.groupBy("known").agg(F.count_distinct("code").alias("n")).join(forms, "known", "full_outer")
-    form = F.coalesce("form", F.lit(False))
-    words = checkpointed(counted.select("known", F.when(form, FORM_WEIGHT).otherwise(unknown - F.log(F.col("n").cast("double"))).alias("weight"), form.alias("form")))
-    per = each.join(words, "known").groupBy("code", "phrase").agg(F.first("listed").alias("listed"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("phrase_norm"), F.min("form").alias("only_form"), F.collect_list(F.struct("known", "form")).alias("w"))
+    words = checkpointed(counted.select("known", F.when(F.col("form"), FORM_WEIGHT).otherwise(unknown - F.log(F.size("codes").cast("double"))).alias("weight"), "form"))
+    per = each.join(words, "known").groupBy("code", "phrase", "listed").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("phrase_norm"), F.min("form").alias("only_form"), F.collect_list(F.struct("known", "form")).alias("w"))
     phrases = per.select("code", "phrase", "listed", "phrase_norm", "only_form", F.explode("w").alias("w")).select("phrase", "code", "listed", "w.known", "phrase_norm", (F.col("only_form") | ~F.col("w.form")).alias("telling"))
-    return words, checkpointed(phrases), unknown, size.longest or 0
+    return words, phrases, unknown, size.longest or 0
 
 
 def map_values(values: DataFrame, column: str, entries: DataFrame, form_words: list[str], least: float = LEAST_SCORE) -> DataFrame:
@@ -90,30 +89,35 @@ def map_values(values: DataFrame, column: str, entries: DataFrame, form_words: l
     """
     words, phrases, unknown_weight, most = vocabulary(entries, form_words)
     longest = F.lit(most)
-    distinct = values.select(F.col(column).alias("value")).distinct().withColumn("plain", plain_words(F.col("value")))
-    distinct = checkpointed(distinct)
+    distinct = checkpointed(values.select(F.col(column).alias("value")).distinct().withColumn("plain", plain_words(F.col("value"))))
     # values that differ only in case, accents and punctuation share one comparison
-    plain = distinct.select("plain").distinct().where("plain != ''").withColumn("typed", F.explode(F.array_distinct(F.split("plain", " "))))
+    plain = distinct.select("plain").where("plain != ''").distinct().withColumn("typed", F.explode(F.array_distinct(F.split("plain", " "))))
     # a form is met by its hash; what two words have in common by accident of it their distance tells apart
     keys = words.select("known", "weight", F.explode(left_out(F.col("known"), longest)).alias("key")).select("known", "weight", F.xxhash64("key").alias("key"))
     typed = plain.select("typed").distinct().select("typed", F.explode(left_out(F.col("typed"), longest)).alias("key")).select("typed", F.xxhash64("key").alias("key"))
-    pairs = typed.join(keys, "key").select("typed", "known", "weight").distinct()
-    repaired = checkpointed(pairs.withColumn("sim", similarity(F.col("typed"), F.col("known"))).where("sim is not null"))
+    met = typed.join(keys, "key").groupBy("typed").agg(F.collect_set(F.struct("known", "weight")).alias("k"))
+    near = F.filter(F.transform("k", lambda k: F.struct(similarity(F.col("typed"), k["known"]).alias("sim"), (-k["weight"]).alias("lighter"), k["known"].alias("known"))), lambda k: k["sim"].isNotNull())
+    repaired = met.select("typed", near.alias("k")).where(F.size("k") > 0)
     # words too short for repair may still be a mistyped form word
     short = F.array(*[F.lit(w) for w in form_words if len(w) <= 3]) if any(len(w) <= 3 for w in form_words) else F.array().cast("array<string>")
     mistyped = (F.length("typed") <= 3) & F.exists(short, lambda w: F.levenshtein(F.col("typed"), w) <= F.floor(F.length(w) / 2))
     unknown = F.when(mistyped, F.lit(FORM_WEIGHT)).otherwise(F.lit(unknown_weight))
-    own = repaired.groupBy("typed").agg(F.max_by("weight", F.struct("sim", -F.col("weight"))).alias("own_weight"))
-    norms = plain.join(own, "typed", "left").groupBy("plain").agg(F.sqrt(F.sum(F.pow(F.coalesce("own_weight", unknown), F.lit(2)))).alias("value_norm"))
-    hits = plain.join(repaired.join(own, "typed"), "typed").join(phrases, "known")
-    hits = hits.select("plain", "phrase", "code", "listed", "phrase_norm", "typed", "known", "telling", (F.col("sim") * F.col("weight") ** 2).alias("part"), (F.col("weight") ** 2 - F.col("own_weight") ** 2).alias("swap"))
+    # the nearest known word, the lightest of equally near ones
+    own = F.array_max("k")
+    weighed = plain.join(repaired, "typed", "left").select("plain", "typed", "k", F.coalesce(-own["lighter"], unknown).alias("own_weight"))
+    value_norm = F.sum(F.col("own_weight") ** 2).over(Window.partitionBy("plain"))
+    each = weighed.withColumn("value_norm", value_norm).where("k is not null").select("plain", "typed", "own_weight", "value_norm", F.explode("k").alias("k"))
+    each = each.select("plain", "typed", "own_weight", "value_norm", "k.sim", "k.known", (-F.col("k.lighter")).alias("weight"))
+    # all that follows is per plain value: one exchange serves it
+    hits = each.join(phrases, "known").repartition("plain")
+    hits = hits.select("plain", "value_norm", "phrase", "code", "listed", "phrase_norm", "typed", "known", "telling", (F.col("sim") * F.col("weight") ** 2).alias("part"), (F.col("weight") ** 2 - F.col("own_weight") ** 2).alias("swap"))
     # a typed word stands for one word of an entry, and a word of an entry is met once
-    entry = ["plain", "phrase", "code", "listed", "phrase_norm"]
+    entry = ["plain", "value_norm", "phrase", "code", "listed", "phrase_norm"]
     once = hits.groupBy(*entry, "typed").agg(F.max(F.struct("part", "known", "telling", "swap")).alias("m")).groupBy(*entry, "m.known").agg(F.max(F.struct("m.part", "m.telling", "m.swap")).alias("m"))
     scored = once.groupBy(*entry).agg(F.sum("m.part").alias("dot"), F.max("m.telling").alias("telling"), F.sum("m.swap").alias("swap"), F.count("*").alias("matched")).where("telling")
     # in the value's norm, a word that is met counts with the weight of the word it stands for
-    cosine = F.least(F.lit(1.0), F.col("dot") / (F.col("phrase_norm") * F.sqrt(F.pow("value_norm", F.lit(2)) + F.col("swap"))))
-    ranked = scored.join(norms, "plain").select("plain", "code", F.round(cosine, 6).alias("score"), "matched", "listed")
+    cosine = F.least(F.lit(1.0), F.col("dot") / (F.col("phrase_norm") * F.sqrt(F.col("value_norm") + F.col("swap"))))
+    ranked = scored.select("plain", "code", F.round(cosine, 6).alias("score"), "matched", "listed")
     best = ranked.groupBy("plain").agg(F.max_by(F.struct("code", "score", "listed"), F.struct("score", "listed", "matched", _falling("code"))).alias("b"))
     found = distinct.join(best, "plain", "left")
     score = F.coalesce(F.col("b.score"), F.lit(0.0))
@@ -130,10 +134,11 @@ def map_countries(values: DataFrame, column: str, reference: DataFrame) -> DataF
 
     The world's other countries stand in the vocabulary beside, so that a value that means one of them is not bent to a listed one.
     """
-    listed = reference.where("iso2 is not null").select("iso2", "iso3", "country_name")
-    codes = listed.select(F.col("iso2").alias("code")).distinct().withColumn("listed", F.lit(True))
-    named = listed.select(F.col("iso2").alias("code"), F.explode(F.array("iso2", "iso3", "country_name")).alias("name")).select("code", plain_words(F.col("name"), notes=True).alias("phrase"))
-    world = values.sparkSession.createDataFrame(places.country_names(values.sparkSession), "code string, phrase string")
-    entries = world.unionByName(named).where("phrase <> ''").distinct().join(codes, "code", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    listed = reference.where("iso2 is not null").select(F.col("iso2").alias("code"), F.explode(F.array("iso2", "iso3", "country_name")).alias("name"))
+    named = listed.select("code", plain_words(F.col("name"), notes=True).alias("phrase"), F.lit(True).alias("listed"))
+    world = values.sparkSession.createDataFrame(places.country_names(values.sparkSession), "code string, phrase string").withColumn("listed", F.lit(False))
+    entries = world.unionByName(named).where("phrase <> ''").groupBy("code", "phrase").agg(F.max("listed").alias("listed"))
+    # a code is listed with all its names
+    entries = checkpointed(entries.groupBy("code").agg(F.collect_list("phrase").alias("p"), F.max("listed").alias("listed")).select("code", "listed", F.explode("p").alias("phrase")))
     mapped = map_values(values, column, entries, places.FORM_WORDS)
     return mapped.select(column, F.when(F.col("listed"), F.col("code")).otherwise(_UNMATCHED).alias("code"), "score")

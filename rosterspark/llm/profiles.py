@@ -117,8 +117,6 @@ PROFILE = f"entry_id string, source string, kind string, names array<array<strin
 
 def _of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "sanction_record").where("id is not null")
-    a = table(spark, sf_dir, "name_alias").where("record_id is not null").select("record_id", name_words(F.col("whole_name")).alias("n")).where(F.size("n") > 0)
-    names = a.groupBy("record_id").agg(F.collect_set("n").alias("names"))
     b = F.transform(
         F.coalesce("birth_dates", F.array().cast(r.schema["birth_dates"].dataType)),
         lambda x: F.when(
@@ -129,7 +127,10 @@ def _of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(birth(x["raw"])),
     )
     r = r.select("id", "source", kind_of(F.col("type")).alias("kind"), b.alias("births"), F.coalesce("citizenships", F.array().cast("array<string>")).alias("typed"), F.array_compact(F.array(_un_number(F.col("united_nation_id")))).alias("numbers"))
-    return r.join(names, F.col("id") == F.col("record_id"), "left").select(F.col("id").alias("entry_id"), "source", "kind", "names", "births", "typed", "numbers")
+    r = r.select(F.col("id").alias("entry_id"), "source", "kind", F.lit(None).cast("array<array<string>>").alias("names"), "births", "typed", "numbers")
+    # a name is a row of its own: rows of one entry are put together later, once for all
+    a = table(spark, sf_dir, "name_alias").where("record_id is not null").select(F.col("record_id").alias("entry_id"), name_words(F.col("whole_name")).alias("n")).where(F.size("n") > 0)
+    return r.unionByName(a.select("entry_id", F.array("n").alias("names")), allowMissingColumns=True)
 
 
 def _of_peps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,16 +150,14 @@ def profiles(spark: SparkSession, sf_dir: str, only_custom: bool = False) -> Dat
 
     ``only_custom``: of the records only those of source CUSTOM. Entries without any name have empty ``names``.
     """
-    records = _of_records(spark, sf_dir)
-    if only_custom:
-        records = records.where("source = 'CUSTOM'")
-    rows = records.unionByName(_of_peps(spark, sf_dir))
+    rows = _of_records(spark, sf_dir).unionByName(_of_peps(spark, sf_dir))
     one = rows.groupBy("entry_id").agg(
         F.min("source").alias("source"), F.mode("kind", True).alias("kind"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"),
         F.filter(F.array_distinct(F.flatten(F.collect_list("births"))), lambda b: b.isNotNull() & b["y1"].isNotNull()).alias("births"),
         F.array_distinct(F.flatten(F.collect_list("typed"))).alias("typed"), F.array_distinct(F.filter(F.flatten(F.collect_list("numbers")), lambda n: F.length(n) >= 5)).alias("numbers"),
     )
-    one = checkpointed(one)
+    # names of records that do not exist are of no entry
+    one = checkpointed(one.where("source in ('CUSTOM', 'PEP')" if only_custom else "source is not null"))
     typed = one.select("entry_id", F.explode("typed").alias("place")).where("place is not null")
     known = canonical.map_countries(typed, "place", table(spark, sf_dir, "country_ref")).where("code <> '-'").select("place", "code")
     lands = typed.join(known, "place").groupBy("entry_id").agg(F.array_sort(F.collect_set("code")).alias("countries"))

@@ -62,9 +62,8 @@ def candidates(profiles: DataFrame, strong: float, hot: int = HOT_BLOCK) -> Data
     In a hot block they meet by what they have in common of these, so that pairs they exclude are never made.
     """
     keys = checkpointed(block_keys(profiles, strong))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any")).where("n > 1 and any").select("key", "n")
+    sizes = checkpointed(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("new").alias("any")).where("n > 1 and any").select("key", "n"))
     blocked = keys.join(sizes, "key")
-    calm, busy = blocked.where(F.col("n") <= hot), blocked.where(F.col("n") > hot).select("entry_id", "key", "new", "light", *split_by("light."))
 
     def met(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
         x = rows.select(*on, F.col("entry_id").alias("a"), F.col("light").alias("la"), F.col("new").alias("na"))
@@ -72,9 +71,14 @@ def candidates(profiles: DataFrame, strong: float, hot: int = HOT_BLOCK) -> Data
         pairs = x.join(y, on).where((F.col("a") < F.col("b")) & (F.col("na") | F.col("nb")) & agreement.of_one_kind("la", "lb"))
         return pairs.where(agreement.not_excluded(*agreement.beside("la", "lb"))).select("a", "b")
 
-    split = busy.withColumn("m", F.explode("marks"))
-    open_ = met(busy.withColumn("m", F.col("own")), busy.withColumn("m", F.explode("meets")), ["key", "m"])
-    return met(calm, calm, ["key"]).unionByName(met(split, split, ["key", "m"])).unionByName(open_).distinct()
+    calm = blocked.where(F.col("n") <= hot)
+    pairs = met(calm, calm, ["key"])
+    if not sizes.where(F.col("n") > hot).isEmpty():
+        busy = blocked.where(F.col("n") > hot).select("entry_id", "key", "new", "light", *split_by("light."))
+        # what may be met by, with the side it is for: marks for both, what one has for what the other meets
+        ways = lambda of: F.explode(F.array_union(F.transform("marks", lambda m: F.concat(F.lit("m:"), m)), of))
+        pairs = pairs.unionByName(met(busy.withColumn("m", ways(F.array("own"))), busy.withColumn("m", ways(F.col("meets"))), ["key", "m"]))
+    return pairs.distinct()
 
 
 def judged(pairs: DataFrame, profiles: DataFrame, variants: frozenset[tuple[str, str]], strong: float, more: list[str] = []) -> DataFrame:
@@ -114,10 +118,11 @@ def resolve(profiles: DataFrame, total: int, variants: frozenset[tuple[str, str]
     strong = words.strong_weight(total)
     body = F.md5(F.to_json(F.struct(*[F.col(c) if c == "kind" else F.array_sort(c) for c in ("kind", "names", "births", "countries", "numbers")])).cast("binary"))
     first = profiles.withColumn("same", F.when(F.size("names") > 0, body).otherwise(F.concat(F.lit("own:"), "entry_id")))
-    heads = first.groupBy("same").agg(F.min("entry_id").alias("root"))
-    members = checkpointed(first.select("entry_id", "same").join(heads, "same").select("entry_id", F.col("root").alias("class_id")))
+    heads = first.groupBy("same").agg(F.min("entry_id").alias("class_id"))
+    first = checkpointed(first.join(heads, "same").drop("same"))
+    members = first.select("entry_id", "class_id")
     shown = lambda df, new: df.select("entry_id", *_PARTS, F.lit(new).alias("new"), agreement.encoded().alias("body"))
-    now = checkpointed(shown(profiles.where(F.size("names") > 0).join(heads.select(F.col("root").alias("entry_id")), "entry_id", "left_semi"), True))
+    now = checkpointed(shown(first.where((F.size("names") > 0) & (F.col("entry_id") == F.col("class_id"))), True))
     merges = 0
     while True:
         links = checkpointed(judged(candidates(now, strong), now, variants, strong).where("same").select("a", "b"))

@@ -37,4 +37,4 @@ def variants(profiles: DataFrame, support: int = VARIANT_SUPPORT) -> frozenset[t
     only_a, only_b = F.array_except("a", "b"), F.array_except("b", "a")
     one = b.where((F.size(only_a) == 1) & (F.size(only_b) == 1)).select("entry_id", only_a[0].alias("x"), only_b[0].alias("y")).where((F.length("x") > 2) & (F.length("y") > 2) & (F.col("x") < F.col("y")))
     counted = one.groupBy("x", "y").agg(F.count_distinct("entry_id").alias("n"))
-    return frozenset((r.x, r.y) for r in counted.where(F.col("n") >= support).select("x", "y").toLocalIterator())
+    return frozenset((r.x, r.y) for r in counted.where(F.col("n") >= support).select("x", "y").collect())

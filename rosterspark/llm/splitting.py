@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterspark.llm.tokens import Tokenizer, tokenizer, tokenizer_path
@@ -184,16 +184,16 @@ def split_text(text: str, t: Tokenizer, limit: int, overlap: int) -> list[tuple[
 _PIECE = "piece_no int, n_pieces int, begin_byte long, end_byte long, n_tokens long, overlap_tokens long, piece string"
 
 
-def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, path: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, path: str | None = None, range_bytes: int = RANGE_BYTES, with_piece: bool = True) -> DataFrame:
     """(key, piece_no, n_pieces, begin_byte, end_byte, n_tokens, overlap_tokens, piece) of every text.
 
     A text of at most ``limit`` tokens comes out whole as piece 0 of 1 (so do empty ones; a null text gives no
     piece). Pieces hold at most ``limit`` tokens and repeat about ``overlap`` tokens of the one before, from a
     word's begin. Without any blank in a window the cut is hard, between two tokens and never within a character.
     A text of no more bytes than ``limit`` needs no tokenizer to be known as whole: no token is empty.
+    Texts of more than ``range_bytes`` are taken by ranges. Without ``with_piece``, the table of pieces alone is made.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be at least 0 and below half the limit")
+    _checked(limit, overlap)
     path = path or tokenizer_path()
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
     rows = df.select(F.col(key).alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
@@ -210,13 +210,45 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, pa
                     continue
                 found = split_text(x, t, limit, overlap)
                 for no, begin, end, n, over in found:
-                    out.append((item, no, len(found), begin, end, n, over, raw[begin:end].decode("utf-8", "replace")))
+                    out.append((item, no, len(found), begin, end, n, over, raw[begin:end].decode("utf-8", "replace") if with_piece else None))
             yield pd.DataFrame(out, columns=["item", "piece_no", "n_pieces", "begin_byte", "end_byte", "n_tokens", "overlap_tokens", "piece"])
 
     small = rows.where(size <= range_bytes).mapInPandas(local, f"item {kind}, {_PIECE}")
-    big = _split_ranges(rows.where(size > range_bytes), kind, limit, overlap, path, range_bytes)
-    out = small.unionByName(big)
-    return out.withColumnRenamed("item", key)
+    # ranges of one text leave the task that read it and spread over all; a text is known by its own hash and its key
+    named = F.concat(F.lpad(F.hex(F.xxhash64("text")), 16, "0"), F.col("item").cast("string"))
+    cut_up = ranges(rows.where(size > range_bytes).select(named.alias("item"), "text"), range_bytes).repartition("item", "range_no")
+    big = _split_ranges(cut_up, limit, overlap, path, range_bytes, with_piece)
+    out = small.unionByName(big.withColumn("item", F.substring("item", F.lit(17), F.length("item")).cast(kind)))
+    return (out if with_piece else out.drop("piece")).withColumnRenamed("item", key)
+
+
+def split_files(spark: SparkSession, files: str, limit: int, overlap: int, path: str | None = None, range_bytes: int = RANGE_BYTES, with_piece: bool = True) -> DataFrame:
+    """``split_texts`` of whole UTF-8 files (path, piece_no, ...): each worker reads the bytes of its ranges alone, no file is ever a row.
+
+    ``files``: a path or pattern that all executors can read. Empty files give no piece: Spark does not list them.
+    """
+    _checked(limit, overlap)
+    listed = spark.read.format("binaryFile").load(files).select(F.col("path").alias("item"), F.col("length").alias("size"))
+    at = F.col("range_no") * F.lit(range_bytes)
+    each = listed.where("size > 0").select("item", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {range_bytes})")).alias("range_no"))
+    cut_up = each.select("item", F.col("range_no").cast("int").alias("range_no"), at.alias("at"), F.least(at, F.lit(LEFT_HALO)).cast("int").alias("lead"), F.least(F.lit(range_bytes), F.col("size") - at).cast("int").alias("length"), "size", F.lit(None).cast("binary").alias("raw"))
+    cut_up = cut_up.repartition("item", "range_no")
+    out = _split_ranges(cut_up, limit, overlap, path or tokenizer_path(), range_bytes, with_piece)
+    return (out if with_piece else out.drop("piece")).withColumnRenamed("item", "path")
+
+
+def _checked(limit: int, overlap: int) -> None:
+    if not 0 <= overlap < limit // 2:
+        raise ValueError("overlap must be at least 0 and below half the limit")
+
+
+def read_range(file: str, at: int, length: int) -> bytes:
+    """Bytes of a file from ``at``, by its path or address."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+    with where.open_input_file(name) as f:
+        return f.read_at(min(length, max(0, f.size() - at)), at)
 
 
 def ranges(rows: DataFrame, range_bytes: int) -> DataFrame:
@@ -231,12 +263,17 @@ def ranges(rows: DataFrame, range_bytes: int) -> DataFrame:
     )
 
 
-def _split_ranges(rows: DataFrame, kind: str, limit: int, overlap: int, path: str, range_bytes: int) -> DataFrame:
-    # ranges of one text leave the task that read it and spread over all
-    cut_up = ranges(rows, range_bytes).repartition("item", "range_no")
+def _bytes_of(r) -> np.ndarray:
+    return np.frombuffer(r.raw if r.raw is not None else read_range(r.item, r.at - r.lead, r.lead + r.length + RIGHT_HALO), dtype=np.uint8)
+
+
+def _split_ranges(cut_up: DataFrame, limit: int, overlap: int, path: str, range_bytes: int, with_piece: bool) -> DataFrame:
+    # repeated texts are worked on once and come out as often as they came
+    cut_up = cut_up.groupBy("item", "range_no", "at", "lead", "length", "size").agg(F.first("raw").alias("raw"), F.count("*").alias("times"))
+    kind = "string"
 
     def bounds(r) -> tuple[np.ndarray, int, int]:
-        raw = np.frombuffer(r.raw, dtype=np.uint8)
+        raw = _bytes_of(r)
         begin, end = owned(raw, r.lead, r.length, r.at == 0, r.at + r.length >= r.size)
         return raw, begin, max(begin, end)
 
@@ -246,13 +283,13 @@ def _split_ranges(rows: DataFrame, kind: str, limit: int, overlap: int, path: st
             out = []
             for r in b.itertuples(index=False):
                 raw, begin, end = bounds(r)
-                out.append((r.item, r.range_no, t.count(raw[begin:end].tobytes().decode("utf-8", "replace"))))
-            yield pd.DataFrame(out, columns=["item", "range_no", "n"])
+                out.append((r.item, r.range_no, r.size, r.times, t.count(raw[begin:end].tobytes().decode("utf-8", "replace"))))
+            yield pd.DataFrame(out, columns=["item", "range_no", "size", "times", "n"])
 
-    counts = cut_up.mapInPandas(count, f"item {kind}, range_no int, n long")
+    counts = cut_up.mapInPandas(count, f"item {kind}, range_no int, size long, times long, n long")
     ordered = Window.partitionBy("item").orderBy("range_no")
     # rows of numbers, one per range: a text of a terabyte has four million
-    offsets = checkpointed(counts.select("item", "range_no", (F.sum("n").over(ordered) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy("item")).alias("total")))
+    offsets = checkpointed(counts.select("item", "range_no", "size", "times", (F.sum("n").over(ordered) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy("item")).alias("total")))
 
     def offer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
@@ -268,13 +305,14 @@ def _split_ranges(rows: DataFrame, kind: str, limit: int, overlap: int, path: st
                     out.append((r.item, i, level, tokens, at + shift, start + shift, start_tokens))
             yield pd.DataFrame(out, columns=["item", "cut", "level", "tokens", "at", "start", "start_tokens"])
 
-    offered = cut_up.join(offsets, ["item", "range_no"]).mapInPandas(offer, f"item {kind}, cut int, level int, tokens long, at long, start long, start_tokens long")
+    offered = cut_up.join(offsets.drop("size", "times"), ["item", "range_no"]).mapInPandas(offer, f"item {kind}, cut int, level int, tokens long, at long, start long, start_tokens long")
     best = offered.groupBy("item", "cut").agg(F.max(F.struct("level", "tokens", "at", "start", "start_tokens")).alias("c"))
-    whole = offsets.where("range_no = 0").join(rows.select("item", F.octet_length("text").cast("long").alias("size")), "item")
+    whole = offsets.where("range_no = 0").select("item", "total", "size", "times")
     edge = Window.partitionBy("item").orderBy("cut")
-    firsts = whole.select("item", F.lit(0).alias("cut"), F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("begin_tokens"), F.lit(0).cast("long").alias("end_of"), F.lit(0).cast("long").alias("end_tokens"))
+    zero = F.lit(0).cast("long")
+    firsts = whole.select("item", F.lit(0).alias("cut"), zero.alias("begin"), zero.alias("begin_tokens"), zero.alias("end_of"), zero.alias("end_tokens"))
     cuts = best.select("item", "cut", F.col("c.start").alias("begin"), F.col("c.start_tokens").alias("begin_tokens"), F.col("c.at").alias("end_of"), F.col("c.tokens").alias("end_tokens"))
-    table = firsts.unionByName(cuts).join(whole.select("item", "total", "size"), "item")
+    table = firsts.unionByName(cuts).join(whole, "item")
     pieces = table.select(
         "item",
         (F.row_number().over(edge) - 1).alias("piece_no"),
@@ -283,7 +321,27 @@ def _split_ranges(rows: DataFrame, kind: str, limit: int, overlap: int, path: st
         F.coalesce(F.lead("end_of").over(edge), F.col("size")).alias("end_byte"),
         (F.coalesce(F.lead("end_tokens").over(edge), F.col("total")) - F.col("begin_tokens")).alias("n_tokens"),
         (F.col("end_tokens") - F.col("begin_tokens")).alias("overlap_tokens"),
+        "times",
     )
-    b = rows.select("item", F.encode("text", "UTF-8").alias("b"))
-    cut_out = F.decode(F.col("b").substr(F.col("begin_byte").cast("int") + 1, (F.col("end_byte") - F.col("begin_byte")).cast("int")), "UTF-8")
-    return pieces.join(b, "item").select("item", "piece_no", "n_pieces", "begin_byte", "end_byte", "n_tokens", "overlap_tokens", cut_out.alias("piece"))
+    full = _emitted(checkpointed(pieces), cut_up, kind, range_bytes) if with_piece else pieces.withColumn("piece", F.lit(None).cast("string"))
+    return full.withColumn("times", F.explode(F.expr("sequence(1L, times)"))).drop("times")
+
+
+def _emitted(pieces: DataFrame, cut_up: DataFrame, kind: str, range_bytes: int) -> DataFrame:
+    """``pieces`` with ``piece``: each range gives out its own bytes of the pieces that meet it, and these are put together. No row holds more than a range and its pieces' offsets."""
+    meets = F.explode(F.expr(f"sequence(int(begin_byte div {range_bytes}), int(greatest(begin_byte, end_byte - 1) div {range_bytes}))"))
+    wanted = pieces.select("item", meets.alias("range_no"), F.struct("piece_no", "begin_byte", "end_byte").alias("p")).groupBy("item", "range_no").agg(F.collect_list("p").alias("p"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                raw = _bytes_of(r)[r.lead : r.lead + r.length].tobytes()
+                for p in r.p:
+                    out.append((r.item, p["piece_no"], r.range_no, raw[max(p["begin_byte"] - r.at, 0) : max(p["end_byte"] - r.at, 0)]))
+            yield pd.DataFrame(out, columns=["item", "piece_no", "range_no", "part"])
+
+    parts = cut_up.join(wanted, ["item", "range_no"]).mapInPandas(cut, f"item {kind}, piece_no int, range_no int, part binary")
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("range_no", "part"))), F.lit(b""), lambda acc, x: F.concat(acc, x["part"]))
+    text = parts.groupBy("item", "piece_no").agg(F.decode(joined, "UTF-8").alias("piece"))
+    return pieces.join(text, ["item", "piece_no"]).select("item", "piece_no", "n_pieces", "begin_byte", "end_byte", "n_tokens", "overlap_tokens", "times", "piece")

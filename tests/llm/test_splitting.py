@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rosterspark.llm.splitting import split_texts
+from rosterspark.llm.splitting import split_files, split_texts
 from rosterspark.llm.tokens import tokenizer, tokenizer_path
 
 LIMIT, OVERLAP = 64, 8
@@ -75,3 +75,32 @@ def test_empty_and_bad_parameters(spark):
     assert split_texts(df, "doc", "text", LIMIT, OVERLAP).count() == 0
     with pytest.raises(ValueError):
         split_texts(df, "doc", "text", 10, 5)
+
+
+def test_repeated_rows_and_equal_keys(spark):
+    """Texts of one key stay apart, repeated rows come out as often as they came, at any range size."""
+    rnd = random.Random(9)
+    a, b = long_text(rnd, 900), long_text(rnd, 700)
+    df = spark.createDataFrame([("k", a), ("k", b), ("k", a)], "doc string, text string")
+    runs = [sorted(tuple(r) for r in split_texts(df, "doc", "text", LIMIT, OVERLAP, range_bytes=n).collect()) for n in (500, 1 << 20)]
+    assert runs[0] == runs[1]
+    one = sorted(tuple(r) for r in split_texts(df.limit(2), "doc", "text", LIMIT, OVERLAP, range_bytes=500).collect())
+    assert len(runs[0]) > len(one) and set(runs[0]) == set(one)
+
+
+def test_files_by_range(spark, tmp_path):
+    """Files are read by ranges alone and give the pieces of their whole texts."""
+    rnd = random.Random(2)
+    data = {"a.txt": long_text(rnd, 3000), "b.txt": long_text(rnd, 40), "c.txt": ""}
+    for name, text in data.items():
+        (tmp_path / name).write_bytes(text.encode())
+    whole = spark.createDataFrame([(k, v) for k, v in data.items()], "doc string, text string")
+    want = sorted(tuple(r) for r in split_texts(whole.where("text <> ''"), "doc", "text", LIMIT, OVERLAP).collect())
+    got = sorted((r.path.rsplit("/", 1)[1], *tuple(r)[1:]) for r in split_files(spark, str(tmp_path), LIMIT, OVERLAP, range_bytes=700).collect())
+    assert got == want
+
+
+def test_table_without_pieces(spark):
+    df = spark.createDataFrame([(1, long_text(random.Random(3), 2000)), (2, "short")], "doc int, text string")
+    full = sorted(tuple(r)[:7] for r in split_texts(df, "doc", "text", LIMIT, OVERLAP, range_bytes=800).collect())
+    assert full == sorted(tuple(r) for r in split_texts(df, "doc", "text", LIMIT, OVERLAP, range_bytes=800, with_piece=False).collect())

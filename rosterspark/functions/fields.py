@@ -73,10 +73,15 @@ def content_hash(columns: dict[str, Column], arrays: tuple[str, ...] = ()) -> Co
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
-def csv_escape(c: Column) -> Column:
-    """A field for CSV: formulas made text by a leading apostrophe, quoted where needed, '' for null."""
+def guarded(c: Column) -> Column:
+    """A value for a spreadsheet: formulas made text by a leading apostrophe, '' for null."""
     s = F.coalesce(c.cast("string"), F.lit(""))
-    safe = F.when(s.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), s)).otherwise(s)
+    return F.when(s.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), s)).otherwise(s)
+
+
+def csv_escape(c: Column) -> Column:
+    """A field for CSV: ``guarded``, and quoted where needed."""
+    safe = guarded(c)
     return F.when(safe.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
 
 
@@ -86,7 +91,7 @@ def redact_emails(c: Column) -> Column:
 
 
 # Parts of keys whose values are never logged.
-SECRET_KEYS = ["password", "secret", "token", "authorization", "cookie", "apikey", "api_key", "otp", "code"]
+SECRET_KEYS = ["password", "token", "secret", "apikey", "api_key", "authorization", "cookie", "sessionid", "session_id"]
 
 
 def redact_map(m: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterspark.functions.fields import alias_names, csv_escape, format_births, format_documents, primary_name
+from rosterspark.functions.fields import alias_names, csv_escape, format_births, format_documents, guarded, primary_name
 
 # Columns of the CSV export, in order.
 CSV_HEADERS = [
@@ -26,8 +26,8 @@ def export_filter(records: DataFrame, status: str = "active", source: str | None
     return out.where("source is not null and type is not null") if whole_only else out
 
 
-def csv_lines(records: DataFrame) -> DataFrame:
-    """(record_id, line) of the export. Lists are joined by ``; ``; columns that ``records`` lacks are empty."""
+def export_values(records: DataFrame) -> list[Column]:
+    """The columns of the export, in the order of ``CSV_HEADERS``. Lists are joined by ``; ``; columns that ``records`` lacks are empty."""
     has = set(records.columns)
     empty = F.lit("")
     many = lambda c: F.concat_ws("; ", c)
@@ -38,30 +38,49 @@ def csv_lines(records: DataFrame) -> DataFrame:
         parts = F.concat_ws(", ", F.nullif(a["street"], empty), F.nullif(a["city"], empty), F.nullif(a["country"], empty))
         return F.coalesce(F.nullif(a["full_address"], empty), F.nullif(parts, empty))
 
-    values = [
+    return [
         F.col("record_id"), one("source"), one("type"), primary_name(F.col("names")), many(F.transform(alias_names(F.col("names")), lambda x: F.coalesce(x, empty))), F.coalesce("status", F.lit("active")),
         one("score"), one("matched_name"), many(format_births(F.col("birth_dates"))), many(F.col("places_of_birth")) if "places_of_birth" in has else empty, many(F.col("citizenships")) if "citizenships" in has else empty,
         many(format_documents(F.col("identifications"))) if "identifications" in has else empty, many(F.array_compact(F.transform("addresses", address))), one("sanction_reason"), one("legal_basis"),
         one("united_nation_id"), one("eu_ref_number"), F.coalesce(time("listed_at"), time("created_at")), time("delisted_at"), time("updated_at"),
     ]
-    return records.select("record_id", F.concat_ws(",", *[csv_escape(v) for v in values]).alias("line"))
+
+
+def csv_lines(records: DataFrame) -> DataFrame:
+    """(record_id, line) of the export."""
+    return records.select("record_id", F.concat_ws(",", *[csv_escape(v) for v in export_values(records)]).alias("line"))
 
 
 def write_csv(records: DataFrame, path: str) -> None:
-    """The export as text files, one header each, lines ended by CR LF."""
-    header = ",".join(CSV_HEADERS)
-    df = csv_lines(records).select(F.concat("line", F.lit("\r")).alias("value"))
-    first = df.sparkSession.createDataFrame([(header + "\r",)], "value string")
-    # the header is a file of its own, first by name
-    first.coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    df.write.mode("overwrite").text(f"{path}/rows")
-
-
-def result_lines(hits: DataFrame) -> DataFrame:
-    """The nine columns of a shown result list as CSV lines, quoted only where needed."""
-    cols = ["record_id", "matched_name", "score", "source", "type", "country_status", "birth_match", "rank", "total_matches"]
+    """The export as CSV files, each with its header, lines ended by CR LF; formulas are made text."""
+    safe = [guarded(v).alias(h) for h, v in zip(CSV_HEADERS, export_values(records))]
+    records.select(*safe).write.mode("overwrite").csv(path, header=True, lineSep="\r\n", escape='"', emptyValue="")
+
+
+# Columns of a shown result list, in order.
+RESULT_HEADERS = ["id", "source", "type", "primaryName", "aliases", "score", "matchedAlias", "status", "birthDates"]
+
+
+def result_lines(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """(q_id, rank, line): the nine columns of a shown result list as CSV lines, quoted only where needed, in order of ``rank``.
+
+    ``hits``: q_id, record_id, rank, score, matched_name; ``records``: record_id, source, type, status, names, birth_dates.
+    """
+    empty = F.lit("")
+    full = hits.select("q_id", "record_id", "rank", "score", "matched_name").join(records.select("record_id", "source", "type", "status", "names", "birth_dates"), "record_id")
+    values = [
+        F.col("record_id"), F.col("source"), F.col("type"), primary_name(F.col("names")), F.concat_ws("; ", F.transform(alias_names(F.col("names")), lambda x: F.coalesce(x, empty))),
+        F.col("score").cast("string"), F.col("matched_name"), F.coalesce(F.nullif("status", empty), F.lit("active")), F.concat_ws("; ", format_births(F.col("birth_dates"))),
+    ]
     quote = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    return hits.select(F.concat_ws(",", *[quote(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols if c in hits.columns]).alias("line"))
+    return full.select("q_id", "rank", F.concat_ws(",", *[quote(F.coalesce(v, empty)) for v in values]).alias("line"))
+
+
+def search_summary(queries: DataFrame, hits: DataFrame, sources: list[str], limit: int) -> DataFrame:
+    """(q_id, total_matches, shown, truncated, sources_searched) of every query, also those without a hit. ``hits``: all of them, before the limit."""
+    counts = hits.groupBy("q_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return queries.select("q_id").distinct().join(counts, "q_id", "left").select("q_id", n.alias("total_matches"), F.least(n, F.lit(limit)).alias("shown"), (n > limit).alias("truncated"), F.lit(",".join(sorted(sources))).alias("sources_searched"))
 
 
 def counts_by_source(records: DataFrame) -> DataFrame:

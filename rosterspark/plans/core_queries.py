@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.functions import country, fields, similarity
 from rosterspark.functions import text as tx
-from rosterspark.operators import export, overlay, rejects, screening, versions
+from rosterspark.operators import export, overlay, packed, rejects, screening, versions
 from rosterspark.session import table
 from rosterspark.streaming import limits
 
@@ -658,8 +658,9 @@ def dml14(spark, d):
 
 
 def screening_inputs(spark, d):
-    """The PEP list as queries (country by citizenship) against all records."""
-    pep = t(spark, d, "test_pep").where("name is not null").select(F.col("row_no").alias("q_id"), "name", F.split(F.coalesce("dates_of_birth", F.lit("")), "[|;,]")[0].alias("dob"), F.split("citizenships", "[|;]")[0].alias("land"))
+    """The PEP list as queries (first date of birth, country of the first citizenship) against all records."""
+    first = lambda c, rule: F.get(packed.unpack(F.col(c), rule), F.lit(0))
+    pep = t(spark, d, "test_pep").where("name is not null").select(F.col("row_no").alias("q_id"), "name", first("dates_of_birth", packed.DATES).alias("dob"), first("citizenships", packed.COUNTRIES).alias("land"))
     queries = country.with_codes(pep, "land", "country", ref_names(spark, d)).select("q_id", "name", F.nullif(F.trim("dob"), F.lit("")).alias("dob"), "country")
     r = t(spark, d, "sanction_record").withColumnRenamed("id", "record_id").join(record_countries(spark, d), "record_id", "left").select("record_id", "source", "type", "status", "birth_dates", "countries")
     names = t(spark, d, "name_alias").where("whole_name is not null").select("record_id", F.col("pos").alias("ci"), F.col("whole_name").alias("name")).distinct()
@@ -680,6 +681,21 @@ def sim05(spark, d):
     return screening.name_scores(q, n).where(F.col("score") >= screening.THRESHOLD)
 
 
+@query("snk06_result_lines")
+def snk06(spark, d):
+    """The shown results of the whole portfolio as lines of nine columns."""
+    q, r, n, numbers = screening_inputs(spark, d)
+    shown = screening.ranked(screening.screen(q, r, n, screening.Options(threshold=screening.PORTFOLIO_THRESHOLD), numbers), screening.LIMIT)
+    return export.result_lines(shown, r.join(record_names(spark, d), "record_id", "left"))
+
+
+@query("snk01_search_summary")
+def snk01(spark, d):
+    q, r, n, numbers = screening_inputs(spark, d)
+    hits = screening.screen(q, r, n, screening.Options(threshold=screening.PORTFOLIO_THRESHOLD), numbers)
+    return export.search_summary(q, hits, ["US", "EU", "UK", "UN", "CH", "UA", "CUSTOM"], screening.LIMIT)
+
+
 @query("sim09_explain")
 def sim09(spark, d):
     """All hits that the screening lists, at its own threshold and limit."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes of its text form, that ``bounded_broadcast`` lets be broadcast.
 BROADCAST_BYTES = 4 * 1024 * 1024
+PLAN_TEXT = "spark.sql.maxPlanStringLength"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "rosterspark") -> SparkSession:
@@ -28,8 +29,6 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "roste
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # long expressions make plan texts of megabytes, and the driver keeps one for each execution
-    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,7 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if shared is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"rosterspark-{sc.applicationId}"))
-    return df.checkpoint(eager=True)
+    # long expressions make plan texts of megabytes, and the driver keeps one for each execution
+    kept = spark.conf.get(PLAN_TEXT)
+    spark.conf.set(PLAN_TEXT, "20000")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(PLAN_TEXT, kept)
 
 
 def text_bytes(df: DataFrame) -> int:

@@ -126,7 +126,7 @@ def formats(spark: SparkSession, path: str) -> DataFrame:
         ("un-xml", xml & h.contains("<CONSOLIDATED_LIST"), r'<CONSOLIDATED_LIST[^>]*\sdateGenerated="([^"]*)"'),
         ("us-xml", xml & h.contains("<sdnList"), r"<Publish_Date>([^<]*)</Publish_Date>"),
         ("uk-xml", xml & h.contains("<Designations"), r"<DateGenerated>([^<]*)</DateGenerated>"),
-        ("ch-xml", xml & h.contains("<swiss-sanctions-list"), r'<swiss-sanctions-list[^>]*\sdate="([^"]*)"'),
+        ("ch-xml", xml & h.rlike(r"<target\s[^>]*ssid="), r'\sdate="([^"]*)"'),
     ]
     name = F.when(kinds[0][1], kinds[0][0])
     date = F.when(kinds[0][1], F.regexp_extract(h, kinds[0][2], 1))

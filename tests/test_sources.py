@@ -34,10 +34,10 @@ UK = """<?xml version="1.0"?><Designations><DateGenerated>05/01/2024</DateGenera
 <IndividualDetails><Individual><DOBs><DOB>12/11/1967</DOB><DOB>12/11/1967</DOB><DOB>dd/mm/1968</DOB><DOB>dd/09/1958</DOB><DOB>1985</DOB><DOB>odd</DOB></DOBs><Nationalities><Nationality>Norway</Nationality></Nationalities><BirthDetails><Location><TownOfBirth>Oslo</TownOfBirth><CountryOfBirth>Norway</CountryOfBirth></Location></BirthDetails>
 <PassportDetails><Passport><PassportNumber> D0009720</PassportNumber></Passport></PassportDetails></Individual></IndividualDetails></Designation><Designation><UniqueID></UniqueID></Designation>
 <Designation><UniqueID>S1</UniqueID><IndividualEntityShip>Ship</IndividualEntityShip><ShipDetails><Ship><IMONumbers><IMONumber>0075258</IMONumber></IMONumbers></Ship></ShipDetails></Designation></Designations>"""
-CH = """<?xml version="1.0"?><swiss-sanctions-list date="2024-01-06"><target ssid="10"><individual><identity main="true"><name name-type="primary-name" quality="good" lang="de"><name-part order="2"><value>Berg</value><spelling-variant lang="ru" script="Cyrl">Берг</spelling-variant></name-part>
+CH = """<?xml version="1.0"?><target-list date="2024-01-06"><target ssid="10"><individual><identity main="true"><name name-type="primary-name" quality="good" lang="de"><name-part order="2"><value>Berg</value><spelling-variant lang="ru" script="Cyrl">Берг</spelling-variant></name-part>
 <name-part order="1"><value>Ann</value><spelling-variant lang="ru" script="Cyrl">Анн</spelling-variant></name-part></name><name name-type="alias" quality="low"><name-part><value>A</value></name-part></name><day-month-year day="3" month="2" year="1960"/><day-month-year year="1961" circa="true"/>
 <identification-document document-type="passport"><number>0099</number><issuer>NO</issuer></identification-document><address><street>Road 1</street><zip-code>0150</zip-code><city>Oslo</city></address></identity><justification>j1</justification><justification>j2</justification></individual>
-<modification modification-type="de-listed" effective-date="2023-01-01"/><modification modification-type="listed" publication-date="2020-01-01"/></target><target ssid="11"><object object-type="vessel"><identity><name name-type="primary-name"><name-part><value>Ship</value></name-part></name></identity></object></target><target><entity/></target></swiss-sanctions-list>"""
+<modification modification-type="de-listed" effective-date="2023-01-01"/><modification modification-type="listed" publication-date="2020-01-01"/></target><target ssid="11"><object object-type="vessel"><identity><name name-type="primary-name"><name-part><value>Ship</value></name-part></name></identity></object></target><target><entity/></target></target-list>"""
 
 
 def write(tmp_path, name, text):

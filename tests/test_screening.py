@@ -1,12 +1,14 @@
 """Screening against a plain statement of the scoring rule, acceptance bounds, and modes against each other."""
 
 import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterspark.functions.similarity import jaro_winkler
-from rosterspark.operators.screening import Options, explain, id_hits, name_scores, ranked, screen, with_decisions
+from rosterspark.functions.similarity import jaro, jaro_many, jaro_winkler, jaro_winkler_many
+from rosterspark.operators.screening import Options, explain, id_hits, name_scores, ranked, screen, with_decisions, word_scores
 
 CODES = {c: d for d, letters in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in letters}
 
@@ -81,15 +83,80 @@ def test_modes(spark):
     assert hits["lossless"] == hits["exhaustive"] and hits["reference"] <= hits["exhaustive"]
 
 
-@pytest.mark.parametrize(("query", "name", "low", "high"), [
+BOUNDS = [
     ("Vladmir Putin", "Vladimir Putin", 80, 99), ("Mohammed Al-Amin", "Muhammad Al-Amin", 65, 99), ("Ali Hassan", "Hassan Ali", 80, 99), ("Kim Jong Un", "kim jong un", 100, 100),
     ("Al Hassan", "Al-Tikriti Hassan Omar", 0, 89), ("Al Bin Omar", "Al Rashid Bin Laden Al-Sayed", 0, 64), ("Angela Merkel", "Kim Jong Un", 0, 39), ("Abu Nidal", "Абу Нидал", 65, 99),
     ("linda", "LAMD", 0, 64), ("musa", "MZEE", 0, 64), ("linda", "INDA", 0, 64), ("Qusay", "Musa", 0, 0),
-])
-def test_bounds(spark, query, name, low, high):
-    q, n = frames(spark, [query], [name])
-    rows = name_scores(q, n).collect()
-    assert low <= (rows[0].score if rows else 0) <= high
+]
+
+
+def test_bounds(spark):
+    q = spark.createDataFrame([(i, b[0]) for i, b in enumerate(BOUNDS)], "q_id int, name string")
+    n = spark.createDataFrame([(i, 0, b[1]) for i, b in enumerate(BOUNDS)], "record_id int, ci int, name string")
+    got = {r.q_id: r.score for r in name_scores(q, n).where("q_id = record_id").collect()}
+    for i, (query, name, low, high) in enumerate(BOUNDS):
+        assert low <= got.get(i, 0) <= high, (query, name)
+
+
+def words_of(rnd, n):
+    """Words of few and of many letters, and of each some with letters exchanged, left out, doubled or another at the beginning."""
+    out = ["abcdefgh", "badcfehg", "abcdefghi", "badcfehgi", "ва", "вано", "x", "xy", "bob", "rob"]
+    for _ in range(n):
+        w = "".join(rnd.choice("aeioubcdfghklmnprstz") for _ in range(rnd.randrange(1, 13)))
+        out.append(w)
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rnd.randrange(1, 4)):
+                i = rnd.randrange(len(v))
+                k = rnd.randrange(4)
+                if k == 0 and i + 1 < len(v):
+                    v[i], v[i + 1] = v[i + 1], v[i]
+                elif k == 1 and len(v) > 1:
+                    del v[i]
+                elif k == 2:
+                    v.insert(i, v[i])
+                else:
+                    v[0] = rnd.choice("abcdemnst")
+            out.append("".join(v))
+    return sorted(set(out))
+
+
+def test_word_keys_lose_nothing(spark):
+    """Every pair of words that scores at all is found by keys, also words whose neighbours are all exchanged."""
+    rnd = random.Random(8)
+    q, r = words_of(rnd, 120), words_of(random.Random(8), 120)
+    found = {(x.qt, x.rt): x.s for x in word_scores(spark.createDataFrame([(w,) for w in q], "t string"), spark.createDataFrame([(w,) for w in r], "t string"), "lossless").collect()}
+    want = {(a, b): s for a in q for b in r if (s := pair(a, b)) > 0}
+    assert set(found) == set(want) and all(abs(found[k] - s) < 1e-9 for k, s in want.items())
+    assert found["abcdefgh", "badcfehg"] > 0
+
+
+def test_probes_lose_nothing(spark):
+    """Names of common and rare words at several thresholds: the probes find what comparing every pair finds."""
+    rnd = random.Random(5)
+    pool = ["anna", "ana", "maria", "karl", "ali", "al", "bin"] * 6 + words_of(random.Random(2), 25)
+    name = lambda: " ".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 5)))
+    q, n = frames(spark, [name() for _ in range(60)], [name() for _ in range(150)])
+    every = {(x.q_id, x.record_id, x.score) for x in name_scores(q, n, "exhaustive").collect()}
+    for least in (45, 70):
+        assert {(x.q_id, x.record_id, x.score) for x in name_scores(q, n, least=least).collect()} == {x for x in every if x[2] >= least}
+    assert {(x.q_id, x.record_id, x.score) for x in name_scores(q, n).collect()} == every
+
+
+def test_jaro_of_batches():
+    rnd = random.Random(1)
+    texts = words_of(rnd, 60) + ["", "a b c d" * 20, "x" * 300, "ünïcödé", "a" * 64, "a" * 65]
+    a, b = [rnd.choice(texts) for _ in range(3000)], [rnd.choice(texts) for _ in range(3000)]
+    got, raised = jaro_many(np.array(a), np.array(b)), jaro_winkler_many(np.array(a), np.array(b))
+    assert all(abs(g - jaro(x, y)) < 1e-12 for g, x, y in zip(got, a, b)) and all(abs(g - jaro_winkler(x, y)) < 1e-12 for g, x, y in zip(raised, a, b))
+
+
+def test_threshold_zero_returns_every_record(spark):
+    r = records(spark)
+    names = spark.createDataFrame([(i, 0, x) for i, x in zip("abcd", ["Anna Berg", "Kim", "Olga", "Zoe"])], "record_id string, ci int, name string")
+    q = spark.createDataFrame([("1", "Anna Berg", None, None)], "q_id string, name string, dob string, country string")
+    got = {x.record_id: x.score for x in screen(q, r, names, Options(threshold=0)).collect()}
+    assert set(got) == {"a", "b", "d"} and got["a"] == 100 and got["d"] == 0
 
 
 RECORD = "record_id string, source string, type string, status string, birth_dates array<struct<raw:string,birth_year:int,birth_month:int,birth_day:int,year_range_from:int,year_range_to:int>>, countries array<string>"

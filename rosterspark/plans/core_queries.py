@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.functions import country, fields, similarity
 from rosterspark.functions import text as tx
-from rosterspark.operators import export, overlay, packed, rejects, screening, versions
+from rosterspark.operators import export, imports, lookup, overlay, packed, rejects, screening, versions
 from rosterspark.session import table
 from rosterspark.streaming import limits
 
@@ -721,6 +721,81 @@ def ag11(spark, d):
     return export.recall(asked, found)
 
 
+# --- Lookups and imports ----------------------------------------------------------------------------
+
+
+@query("src14_projected_scan", "select id, coalesce(status, 'active') as status, programme from sanction_record where source = 'EU'")
+def src14(spark, d):
+    r = lookup.scan(t(spark, d, "sanction_record"), "EU", ["id", "status", "programme"])
+    return r.withColumn("status", F.coalesce("status", F.lit("active")))
+
+
+@query("src15_multi_get", f"""select a.record_id, r.id is not null as found, case when {_NO} % 13 = 0 then 'Reviewed' else r.programme end as programme, r.status
+ from (select distinct record_id from documents where record_id is not null) a left join sanction_record r on a.record_id = r.id""")
+def src15(spark, d):
+    """The records that documents speak of, each once, with an analyst's override on some."""
+    r = t(spark, d, "sanction_record").select(F.col("id").alias("record_id"), "programme", "status")
+    n = F.regexp_extract("record_id", r"(\d+)$", 1).cast("long")
+    o = r.where(n % 13 == 0).select("record_id", F.array(F.lit("programme")).alias("present"), F.lit("Reviewed").alias("programme"))
+    return lookup.multi_get(r, t(spark, d, "documents").select("record_id"), "record_id", o).select("record_id", "found", "programme", "status")
+
+
+@query("jn12_token_lookup", """select p.row_no, o.owner from test_pep p left join
+ (select id, min(source) as owner from (select id, source, loaded_at from test_pep where id is not null) where loaded_at + interval 365 day > timestamp '2024-06-01' group by 1) o on p.id = o.id""")
+def jn12(spark, d):
+    p = t(spark, d, "test_pep")
+    tokens = p.where("id is not null").select(F.sha2("id", 256).alias("hash"), F.col("source").alias("owner"), (F.col("loaded_at") + F.expr("interval 365 days")).alias("expires_at"))
+    return lookup.token_owners(p.select("row_no", F.col("id").alias("token")), tokens, F.to_timestamp(F.lit("2024-06-01"))).select("row_no", "owner")
+
+
+@query("sim10_name_tokens", f"""select distinct alias_id, gi, t from (select alias_id, i - 1 as gi, unnest(list_filter([words[i], latin[i]], lambda x: x is not null)) as t from (
+ select alias_id, {sql_words(sql_norm('whole_name'))} as words, {sql_words(sql_norm('(' + sql_latin('whole_name') + ')'))} as latin from name_alias), unnest(range(1, len(words) + 1)) as r(i))""")
+def sim10(spark, d):
+    n = lookup.name_tokens(t(spark, d, "name_alias").select("alias_id", F.col("pos").alias("ci"), F.col("whole_name").alias("name")), "alias_id")
+    return n.select("alias_id", F.col("i").cast("long").alias("gi"), "t")
+
+
+@query("dml01_import_steps", f"""with recursive k as (select distinct snapshot_no as n from record_snapshot), r as (select record_id as id, source, snapshot_no as n, md5(concat_ws('|', {', '.join(f"coalesce({c}, '')" for c in _CONTENT)})) as h,
+ coalesce(status, 'active') as st from record_snapshot qualify row_number() over (partition by record_id, snapshot_no order by line_no desc) = 1),
+ p as (select distinct source, n from r), q as (select source, n, lag(n) over (partition by source order by n) as prev from p)
+ select q.source, q.n as snapshot_no, count(*) as parsed, count(*) filter (where s.id is null) as added, count(*) filter (where s.id is not null and (s.st = 'delisted' or s.h <> i.h)) as updated
+ from q join r i on i.source = q.source and i.n = q.n left join r s on s.source = q.source and s.n = q.prev and s.id = i.id where q.prev is not null group by 1, 2""")
+def dml01(spark, d):
+    """Every delivery of every source against the one before it."""
+    s = t(spark, d, "record_snapshot")
+    h = F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in _CONTENT]))
+    last = s.groupBy(F.col("record_id").alias("id"), "snapshot_no").agg(F.max_by(F.struct("source", "status", h.alias("content_hash"), "line_no"), "line_no").alias("v")).select("id", "snapshot_no", "v.*")
+    steps = last.select("source", "snapshot_no").distinct().withColumn("prev", F.lag("snapshot_no").over(Window.partitionBy("source").orderBy("snapshot_no")))
+    # a run of one source and number is an id space of its own, so that all steps are classified at once
+    run = lambda n: F.concat_ws("/", "source", n.cast("string"), "id")
+    incoming = last.join(steps.where("prev is not null"), ["source", "snapshot_no"]).select(run(F.col("snapshot_no")).alias("id"), "content_hash", F.col("line_no").alias("ord"), "source", "snapshot_no")
+    following = steps.where("prev is not null").select("source", F.col("prev").alias("snapshot_no"), F.col("snapshot_no").alias("next"))
+    stored = last.join(following, ["source", "snapshot_no"]).select(run(F.col("next")).alias("id"), "status", "content_hash")
+    change = versions.classify(incoming, stored).join(incoming.select("id", "source", "snapshot_no"), "id")
+    return change.groupBy("source", "snapshot_no").agg(F.count("*").alias("parsed"), *[F.count_if(F.col("change") == k).alias(k) for k in ("added", "updated")])
+
+
+@query("dml02_modes", f"select 'append' as mode, 0::bigint as delisted union all select 'sync', count(*) from ({_GONE})")
+def dml02(spark, d):
+    i, s = snapshot(spark, d, 5), snapshot(spark, d, 1)
+    return versions.diff_counts(i, s, mode="append").select(F.lit("append").alias("mode"), "delisted").unionByName(versions.diff_counts(i, s, mode="sync").select(F.lit("sync").alias("mode"), "delisted"))
+
+
+@query("dml04_merge_fields", f"""with n as (select record_id as id, type, programme, sanction_reason, listed_at from record_snapshot where snapshot_no = 5 qualify row_number() over (partition by record_id order by line_no desc) = 1)
+ select coalesce(n.id, r.id) as id, case when n.id is null then r.type else n.type end as type, case when n.id is null then r.programme else n.programme end as programme, case when n.id is null then r.sanction_reason else n.sanction_reason end as sanction_reason,
+ case when r.id is not null then r.listed_at else n.listed_at end as listed_at from n full outer join sanction_record r on n.id = r.id""")
+def dml04_merge(spark, d):
+    fields = ["type", "programme", "sanction_reason", "listed_at"]
+    new = t(spark, d, "record_snapshot").where("snapshot_no = 5").groupBy(F.col("record_id").alias("id")).agg(F.max_by(F.struct(*fields), "line_no").alias("v")).select("id", "v.*")
+    return imports.merge_fields(new, t(spark, d, "sanction_record").select("id", *fields), "id", ["listed_at"])
+
+
+@query("dml12_import_lock", """select a.import_id, count(b.import_id) > 0 as blocked from import_log a left join import_log b on a.source = b.source and a.import_id <> b.import_id and b.uploaded_at < a.uploaded_at
+ and b.uploaded_at >= a.uploaded_at - interval 900 second and (b.finished_at is null or b.finished_at > a.uploaded_at) group by 1""")
+def dml12(spark, d):
+    return imports.blocked(t(spark, d, "import_log"))
+
+
 # --- Streams over the events table ------------------------------------------------------------------
 
 

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from rosterspark.functions.text import latin
 from rosterspark.llm import canonical, places
-from rosterspark.session import bounded_broadcast, checkpointed
+from rosterspark.session import checkpointed
 
 #: Least rarity-weighted overlap of two rows of the same building.
 LEAST_OVERLAP = 0.57
-#: Rare words of a row that make blocks, and letters of each half.
-RARE_WORDS = 3
+#: Letters of each half of a rare word.
 HALF = 4
 #: A word is rare if its weight is at least this part of the row's largest.
 RARE_PART = 0.6
@@ -113,7 +112,7 @@ def classes(rows: DataFrame, key: str, reference: DataFrame) -> tuple[DataFrame,
     named = p.groupBy("profile").agg(F.min("id").alias("class_id"), F.first("house").alias("house"), F.first("tokens").alias("tokens"))
     members = p.select("id", "profile").join(named.select("profile", "class_id"), "profile").select("id", "class_id")
     # a country's name left among the words of a row becomes its code
-    names = bounded_broadcast(spark.createDataFrame(places.country_names(spark), "c string, token string").where("length(token) > 3").groupBy("token").agg(F.min("c").alias("c")))
+    names = spark.createDataFrame(places.country_names(spark), "c string, token string").where("length(token) > 3").groupBy("token").agg(F.min("c").alias("c"))
     each = named.select("class_id", "house", F.explode("tokens").alias("token")).join(names, "token", "left")
     each = each.select("class_id", "house", F.coalesce(F.concat(F.lit("c:"), "c"), "token").alias("token")).distinct()
     counted = each.groupBy("token").agg(F.count("*").alias("n"))
@@ -128,7 +127,7 @@ def _block_keys(profiles: DataFrame) -> DataFrame:
     """(class_id, key): each half of each rare word with the house numbers."""
     named = F.filter("tokens", lambda t: ~t["token"].rlike("^[cz]:"))
     ordered = F.transform(F.array_sort(F.transform(named, lambda t: F.struct((-t["w"]).alias("w"), t["token"].alias("token")))), lambda t: F.struct(t["token"].alias("token"), (-t["w"]).alias("w")))
-    rare = F.slice(F.filter(ordered, lambda t: t["w"] >= RARE_PART * ordered[0]["w"]), 1, RARE_WORDS)
+    rare = F.filter(ordered, lambda t: t["w"] >= RARE_PART * ordered[0]["w"])
     halves = F.flatten(F.transform(rare, lambda t: F.array(F.concat(F.lit("<"), F.substring(t["token"], 1, HALF)), F.concat(F.lit(">"), F.right(t["token"], F.lit(HALF))))))
     rows = profiles.select("class_id", "house", F.explode(F.array_distinct(halves)).alias("half"))
     return rows.select("class_id", F.xxhash64("house", "half").alias("key"))
@@ -186,6 +185,14 @@ def links(profiles: DataFrame, hot: int = HOT_BLOCK, least: float = LEAST_OVERLA
     return full.select("class_a", "class_b", F.round(overlap(F.col("ta"), F.col("tb"), F.col("ra"), F.col("rb")), 6).alias("overlap")).where(F.col("overlap") >= least)
 
 
+def with_links(rows: DataFrame, key: str, reference: DataFrame) -> DataFrame:
+    """(id, class_id, n_links) of each row with a place: the class of rows of equal outcome, and how many other classes name the same building."""
+    members, profiles = classes(rows, key, reference)
+    linked = links(profiles).select("class_a", "class_b")
+    ends = linked.select(F.col("class_a").alias("class_id")).unionByName(linked.select(F.col("class_b").alias("class_id")))
+    return members.join(ends.groupBy("class_id").agg(F.count("*").alias("n")), "class_id", "left").select("id", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 def same_building(rows: DataFrame, key: str, reference: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of rows of the same building, rows of one class included.
 

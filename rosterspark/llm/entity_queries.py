@@ -38,6 +38,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per address with its class and the number of its links."""
+    rows = addresses.with_links(table(spark, sf_dir, "address"), "address_id", table(spark, sf_dir, "country_ref"))
+    return rows.withColumnRenamed("id", "address_id")
+
+
 def _weighted(spark: SparkSession, sf_dir: str, only_custom: bool) -> tuple[DataFrame, int, frozenset]:
     plain = checkpointed(profiles.profiles(spark, sf_dir, only_custom))
     total = plain.count()
@@ -66,4 +72,4 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_classes": p4_classes, "p7_found": p7_found}

@@ -77,7 +77,8 @@ def word_scores(query_words: DataFrame, record_words: DataFrame, mode: str) -> D
 
     def distinct(words: DataFrame, side: str) -> DataFrame:
         t = F.col(f"{side}t")
-        return words.where("t is not null").select(F.col("t").alias(f"{side}t")).distinct().withColumn(side, similarity.word_facts(t))
+        # written down, so that facts are worked out once a word and not once a pair
+        return checkpointed(words.where("t is not null").select(F.col("t").alias(f"{side}t")).distinct().withColumn(side, similarity.word_facts(t)))
 
     q, r = distinct(query_words, "q"), distinct(record_words, "r")
     # pairs that score 0 without Jaro-Winkler never reach Python
@@ -99,13 +100,14 @@ def distinct_names(names: DataFrame, key: list[str], text: str = "name") -> tupl
     ``forms``: (i, t) of each word as written and, where it differs, in Latin letters; ``weights`` of the words in order, ``total`` their sum, ``n`` their number.
     """
     latin = normalize_text(transliterate(F.col(text)))
-    of = names.withColumn("norm", normalize_text(F.col(text))).withColumn("latin", latin).where("norm <> ''").withColumn("id", F.xxhash64("norm", "latin"))
+    # texts are normalised once: what follows asks for them many times
+    of = checkpointed(names.select(*key, text, normalize_text(F.col(text)).alias("norm"), latin.alias("latin")).where("norm <> ''").withColumn("id", F.xxhash64("norm", "latin")))
     one = of.groupBy("id").agg(F.first("norm").alias("norm"), F.first("latin").alias("latin"))
     w = one.select("id", "norm", words(F.col("norm")).alias("w"), words(F.col("latin")).alias("l"))
     forms = F.flatten(F.transform("w", lambda x, i: F.transform(F.array_distinct(F.array_compact(F.array(x, F.get("l", i)))), lambda t: F.struct(i.alias("i"), t.alias("t")))))
     weights = F.transform("w", similarity.word_weight)
     full = w.select("id", "norm", F.size("w").alias("n"), weights.alias("weights"), F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x).alias("total"), forms.alias("forms"))
-    return of.select(*key, text, "id"), full
+    return of.select(*key, text, "id"), checkpointed(full)
 
 
 def probes(q: DataFrame, cost: DataFrame, least: float) -> DataFrame:

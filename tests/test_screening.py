@@ -118,6 +118,8 @@ def words_of(rnd, n):
                 else:
                     v[0] = rnd.choice("abcdemnst")
             out.append("".join(v))
+    base = "zoravnemistukepgladhibcofurnepat"
+    out += [base[:n] for n in range(10, 33, 3)] + ["x" + base[1:n] for n in range(12, 33, 3)] + [base[1] + base[0] + base[2:n] for n in range(11, 33, 3)]
     return sorted(set(out))
 
 

@@ -678,7 +678,7 @@ def flagship(spark, d):
 @query("sim05_best_alias")
 def sim05(spark, d):
     q, _, n, _ = screening_inputs(spark, d)
-    return screening.name_scores(q, n).where(F.col("score") >= screening.THRESHOLD)
+    return screening.name_scores(q, n, least=screening.THRESHOLD)
 
 
 @query("snk06_result_lines")

@@ -4,8 +4,12 @@ import contextlib
 import io
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from rosterspark.functions import namepairs
 from rosterspark.operators import screening
+from rosterspark.plans import core_queries
 
 from test_screening import frames, score, words_of
 
@@ -41,3 +45,12 @@ def test_pairs_stay_in_their_task(spark):
     q, n = frames(spark)
     plan = plan_of(screening.name_scores(q, n, least=50))
     assert "FlatMapCoGroupsInArrow" in plan and "jaro_winkler" not in plan and "greedy" not in plan
+
+
+@pytest.mark.parametrize("name", ["sim05_best_alias"])
+def test_threshold_is_known_to_the_search(spark, monkeypatch, name):
+    """Queries that keep hits of the threshold ask for these, and do not score all others first."""
+    asked = []
+    monkeypatch.setattr(screening, "name_scores", lambda q, n, mode="lossless", least=1: (asked.append(least), q.crossJoin(n).where("false").select(F.col("q_id"), "record_id", F.lit(0).alias("score"), F.lit("").alias("matched_name"), "ci"))[1])
+    core_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked and set(asked) == {screening.THRESHOLD}

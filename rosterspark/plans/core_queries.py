@@ -717,7 +717,7 @@ def ag11(spark, d):
     """Recall per query source: a record's own alias must find it."""
     n = t(spark, d, "name_alias").where("whole_name is not null").select("record_id", F.col("pos").alias("ci"), F.col("whole_name").alias("name"), "alias_id").distinct()
     asked = n.where("ci > 0 and trim(name) <> ''").select(F.col("alias_id").alias("q_id"), "name", F.col("record_id").alias("expected"))
-    found = screening.name_scores(asked.select("q_id", "name"), n.where("ci = 0").select("record_id", "ci", "name")).where(F.col("score") >= screening.THRESHOLD)
+    found = screening.name_scores(asked.select("q_id", "name"), n.where("ci = 0").select("record_id", "ci", "name"), least=screening.THRESHOLD)
     return export.recall(asked, found)
 
 

@@ -47,7 +47,7 @@ def test_pairs_stay_in_their_task(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "jaro_winkler" not in plan and "greedy" not in plan
 
 
-@pytest.mark.parametrize("name", ["sim05_best_alias", "ag11_calibration_recall"])
+@pytest.mark.parametrize("name", ["sim05_best_alias", "jn01_blocking_recall_gap", "ag11_calibration_recall"])
 def test_threshold_is_known_to_the_search(spark, monkeypatch, name):
     """Queries that keep hits of the threshold ask for these, and do not score all others first."""
     asked = []

@@ -4,6 +4,7 @@ import contextlib
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,31 @@ def test_pairs_stay_in_their_task(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "jaro_winkler" not in plan and "greedy" not in plan
 
 
+@pytest.mark.parametrize("mode", ["lossless", "reference"])
+def test_groups_are_sent_as_one_small_value(spark, monkeypatch, mode):
+    """A group is one row whatever it holds, unpacks to what was packed, and its names take fewer bytes than their rows; groups of any number give the same pairs."""
+    keys = (lambda t: screening.reference_keys(t, False)) if mode == "reference" else None
+    asked, have = names(3, 60), names(4, 3000)
+    q, r = frames(spark, asked, have)
+    _, plain = screening.distinct_names(r, ["record_id", "ci"], keys=keys)
+    rows = namepairs.packed_groups(plain, 3).collect()
+    assert sorted(x.own for x in rows) == [0, 1, 2]
+    assert sum(len(x.body) for x in rows) < plain.toArrow().nbytes / 4
+    table = plain.toArrow()
+    a = namepairs._Names(table)
+    b = namepairs._Names.unpacked(a.packed())
+    assert vars(a).keys() == vars(b).keys()
+    for c, x in vars(a).items():
+        y = vars(b)[c]
+        assert (x == y).all() and x.dtype.kind == y.dtype.kind if hasattr(x, "dtype") else x == y if not isinstance(x, (pa.Table, pa.Array)) else x.to_pylist() == y.to_pylist()
+    monkeypatch.setattr(namepairs.wordpairs, "LEAST_GROUPS", 1)
+    found = [sorted(map(tuple, screening.name_scores(q, r, mode, 60).collect()))]
+    monkeypatch.setattr(namepairs, "GROUP_QUERIES", 25)
+    monkeypatch.setattr(namepairs, "GROUP_NAMES", 700)
+    found.append(sorted(map(tuple, screening.name_scores(q, r, mode, 60).collect())))
+    assert found[0] and found[0] == found[1]
+
+
 @pytest.mark.parametrize("name", ["sim05_best_alias", "jn01_blocking_recall_gap", "ag11_calibration_recall"])
 def test_threshold_is_known_to_the_search(spark, monkeypatch, name):
     """Queries that keep hits of the threshold ask for these, and do not score all others first."""
